@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partyloom.llm import ann, bpe, exact_dedup, langid, mixing, quality, secrets, simhash, url_filter
+from partyloom.llm import ann, bpe, exact_dedup, langid, mixing, quality, secrets, simhash, substring_dedup, url_filter
 from partyloom.llm.common import table
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -69,6 +74,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op5_substring_dedup, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing)
 }
 ORACLE: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": url_filter.ORACLE}
