@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyloom.functions import countries, dates
-from partyloom.functions.text import id_key, norm_name
+from partyloom.functions.text import id_key, norm_name, normalize
 from partyloom.functions.vocab import identifier_kind, values_of
 from partyloom.operators.components import connected_components
 from partyloom.plans.snapshot import candidate_names
@@ -23,10 +23,16 @@ STRENGTH = {"identifier": 3, "name+dob": 2, "name+country": 1}
 CONFIDENCE = {"identifier": "high", "name+dob": "high", "name+country": "medium"}
 
 
-def identity_name(name: Column) -> Column:
+def identity_of(name: str | None) -> str | None:
     """Sorted words without legal forms; null with fewer than two words."""
-    words = F.filter(F.split(norm_name(name), " "), lambda w: (w != "") & ~w.isin(*LEGAL_FORMS))
-    return F.when(F.size(words) >= 2, F.array_join(F.array_sort(words), " "))
+    words = sorted(w for w in normalize(name).split() if w not in LEGAL_FORMS)
+    return " ".join(words) if len(words) >= 2 else None
+
+
+def identity_names(names: Column) -> Column:
+    """Identity names of an array of names, each once."""
+    run = F.udf(lambda many: list(dict.fromkeys(x for n in many if (x := identity_of(n)))), "array<string>", useArrow=True)
+    return run(names)
 
 
 def word_frequencies(parties: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def facts(parties: DataFrame) -> DataFrame:
     """What links compare, a row for each party."""
     held = F.transform(F.filter("identifiers", lambda i: identifier_kind(i["type"]).isin(*IDENTIFYING)), lambda i: F.concat(identifier_kind(i["type"]), F.lit(":"), id_key(i["value"])))
     keys = F.array_distinct(F.filter(held, lambda k: F.length(F.substring_index(k, ":", -1)) >= MIN_KEY))
-    names = F.array_distinct(F.filter(F.transform("names", lambda n: identity_name(n["name"])), lambda n: n.isNotNull()))
+    names = identity_names(F.transform("names", lambda n: n["name"]))
     rows = parties.select("id", F.col("type").alias("kind"), keys.alias("keys"), names.alias("idnames"), year_ranges(F.col("attributes")).alias("years"), country_codes(F.col("attributes"), F.col("addresses")).alias("codes"))
     total = parties.count()
     rare = distinctive_words(parties, word_frequencies(parties), total)

@@ -26,38 +26,36 @@ def engine(parties):
     return Engine(parties, expected=("OFAC", "EU", "UN", "UK", "BIS"))
 
 
-def hits(engine, q, **kw):
-    return {r["party_id"]: r for r in engine.search(q, **kw).collect()}
+def hits(engine, *rows, **kw):
+    """{q: {party: hit}} of a batch of (q,) or (q, yob, country)."""
+    full = [(i, r[0], *(r[1:] if len(r) > 1 else ())) for i, r in enumerate(rows)]
+    ddl = "qid int, q string" + (", yob string, country string" if len(rows[0]) > 1 else "")
+    found = [{} for _ in rows]
+    for r in engine.screen(engine.spark.createDataFrame(full, ddl), **kw).collect():
+        found[r["qid"]][r["party_id"]] = r
+    return found
 
 
-def test_search_surname_and_own_script(engine):
-    found = hits(engine, "Sokolin")
-    assert found["1"]["score"] == 0.96 and found["1"]["match_type"] == "strong" and found["1"]["matched_field"] == "primary name"
-    assert "1" in hits(engine, "ВИКТОР СОКОЛИН")
-    assert hits(engine, "muhammad khan ali")["4"]["score"] == 1.0
-    assert "4" not in hits(engine, "Khan")
-    assert hits(engine, "") == {}
-
-
-def test_search_identifiers_and_acronym(engine):
-    imo = hits(engine, "9345678")["3"]
-    assert (imo["score"], imo["match_type"], imo["matched_field"]) == (1.0, "identifier", "IMO")
-    cml = hits(engine, "CML")["5"]
-    assert cml["score"] == 0.96 and cml["matched_field"] == "alias (A.K.A.)"
+def test_batch_of_names_and_identifiers(engine):
+    surname, own, order, weak, none, imo, cml = hits(engine, ("Sokolin",), ("ВИКТОР СОКОЛИН",), ("muhammad khan ali",), ("Khan",), ("",), ("9345678",), ("CML",))
+    assert surname["1"]["score"] == 0.96 and surname["1"]["match_type"] == "strong" and surname["1"]["matched_field"] == "primary name"
+    assert "1" in own and order["4"]["score"] == 1.0 and "4" not in weak and none == {}
+    assert (imo["3"]["score"], imo["3"]["match_type"], imo["3"]["matched_field"]) == (1.0, "identifier", "IMO")
+    assert cml["5"]["score"] == 0.96 and cml["5"]["matched_field"] == "alias (A.K.A.)"
 
 
 def test_modifiers(engine):
-    assert hits(engine, "Sokolin", yob="1968")["1"]["score"] == 1.0
-    assert "1" not in hits(engine, "Sokolin", yob="1975")
-    both = hits(engine, "Sokolin", country="Russia")
-    assert both["1"]["corroborated"] and both["1"]["score"] == 1.0
-    assert hits(engine, "Sokolin Shipping", country="Moscow Russia")["2"]["conflict"] is False
-    assert hits(engine, "Harbor Trade Company", country="Syria")["7"]["corroborated"]
+    rows = [("Sokolin", "1968", ""), ("Sokolin", "1975", ""), ("Sokolin", "", "Russia"), ("Sokolin Shipping LLC", "", "Moscow Oblast"), ("Harbor Trade Company", "", "Syria")]
+    year, other, country, odd, text = hits(engine, *rows)
+    assert year["1"]["score"] == 1.0 and "1" not in other
+    assert country["1"]["corroborated"] and country["1"]["score"] == 1.0
+    assert odd["2"]["conflict"] and text["7"]["corroborated"]
 
 
-def test_filters_and_parameters(engine):
-    assert set(hits(engine, "Sokolin", authority="EU")) == {"EU-1", "EU-2"}
-    assert set(hits(engine, "Caspian Marine Lines", list_name="Consolidated List")) == {"5"}
+def test_search_filters_and_parameters(engine):
+    assert {r["party_id"] for r in engine.search("Sokolin", authority="EU").collect()} == {"EU-1", "EU-2"}
+    assert set(hits(engine, ("Caspian Marine Lines",), list_name="Consolidated List")[0]) == {"5"}
+    assert engine.search("").isEmpty()
     assert screening.threshold_of("0") == 0.95 and screening.threshold_of("") == 0.95 and screening.threshold_of("0.99") == 0.99
     assert screening.threshold_of("x", least=0.8) == 0.95 and screening.threshold_of("0.1", least=0.8) == 0.8
 
@@ -73,7 +71,6 @@ def test_below_the_line(engine):
     curve = {r["step"]: r["hits"] for r in out["curve"].collect()}
     assert len(curve) == 21 and curve[0.8] >= curve[0.9] >= curve[1.0] >= 1
     assert all(r["score"] < 0.95 for r in out["marginal"].collect())
-    assert [r["id"] for r in engine.below_the_line("sok")["prefix"].collect()] == ["2", "EU-2", "EU-1", "1", "UK-1"] or True
     assert {r["id"] for r in below_the_line.prefix_hits(engine.parties, "gul").collect()} == {"3", "UN-1"}
     kinds = engine.spark.createDataFrame([("9345678",), ("273000111",), ("0x" + "a" * 40,), ("hello",)], "q string").select(below_the_line.query_shape(F.col("q"))).collect()
     assert [r[0] for r in kinds] == ["imo", "mmsi", "crypto", ""]
@@ -204,7 +201,7 @@ def test_views(spark, engine):
 
 
 def test_publish(engine, tmp_path):
-    assert engine.publish(str(tmp_path), "1") == quality.PUBLISHED_WITH_ALARM or True
+    assert engine.publish(str(tmp_path), "1") in (quality.PUBLISHED, quality.PUBLISHED_WITH_ALARM)
     back = engine.spark.read.parquet(f"{tmp_path}/version=1")
     assert back.count() == len(ROWS) and engine.health()["parties"] == len(ROWS)
     present.write_csv(present.record_rows(engine.parties), f"{tmp_path}/csv")
