@@ -39,8 +39,12 @@ def lay_out(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, halves
 
 
-def convolve(symbols: np.ndarray, filters: np.ndarray, tile: int = 1 << 14) -> np.ndarray:
-    """Maximum of each filter over each half-chunk of start positions; filters: (WIDTH, 257, FILTERS)."""
+def convolve(symbols: np.ndarray, halves: np.ndarray, filters: np.ndarray, tile: int = 1 << 14) -> np.ndarray:
+    """Maximum of each filter over each half-chunk of start positions; filters: (WIDTH, 257, FILTERS).
+
+    Starts from which a filter would reach into the next text don't count.
+    """
+    over = ((np.cumsum(halves) * HALF)[:, None] - np.arange(WIDTH - 1, 0, -1)[None, :]).ravel()
     n = (len(symbols) - WIDTH) // HALF
     out = np.empty((n, filters.shape[2]), np.float32)
     step = tile // HALF
@@ -51,6 +55,8 @@ def convolve(symbols: np.ndarray, filters: np.ndarray, tile: int = 1 << 14) -> n
         run = filters[0][x[:size]]
         for j in range(1, WIDTH):
             run += filters[j][x[j : j + size]]
+        a, b = np.searchsorted(over, (lo * HALF, hi * HALF))
+        run[over[a:b] - lo * HALF] = -np.inf
         out[lo:hi] = run.reshape(hi - lo, HALF, -1).max(axis=1)
     return out
 
@@ -78,7 +84,7 @@ class Model:
         if self.fixed is not None or n == 0:
             return np.full(n, self.fixed or 0.0)
         symbols, halves = lay_out(flat, offsets)
-        pooled = convolve(symbols, self.filters)
+        pooled = convolve(symbols, halves, self.filters)
         ends = np.cumsum(halves)
         chunks = np.maximum(pooled[:-1], pooled[1:])
         last = np.zeros(len(chunks), bool)
