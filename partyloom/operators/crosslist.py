@@ -9,6 +9,7 @@ from partyloom.functions import countries, dates
 from partyloom.functions.text import id_key, norm_name, normalize
 from partyloom.functions.vocab import identifier_kind, values_of
 from partyloom.operators.components import connected_components
+from partyloom.operators.shared import pinned
 from partyloom.plans.snapshot import candidate_names
 
 # Kinds that identify one party, legal forms, and limits.
@@ -68,7 +69,8 @@ def facts(parties: DataFrame) -> DataFrame:
     rows = parties.select("id", F.col("type").alias("kind"), keys.alias("keys"), names.alias("idnames"), year_ranges(F.col("attributes")).alias("years"), country_codes(F.col("attributes"), F.col("addresses")).alias("codes"))
     total = parties.count()
     rare = distinctive_words(parties, word_frequencies(parties), total)
-    return rows.join(rare.withColumnRenamed("party_id", "id"), "id", "left").withColumn("distinctive", F.coalesce("distinctive", F.array().cast("array<string>")))
+    every = rows.join(rare.withColumnRenamed("party_id", "id"), "id", "left").withColumn("distinctive", F.coalesce("distinctive", F.array().cast("array<string>")))
+    return pinned(every, "facts")  # the link rule reads it several times
 
 
 def _pairs(rows: DataFrame, column: str, most: int) -> DataFrame:
@@ -106,7 +108,7 @@ def clusters(parties: DataFrame) -> DataFrame:
 
     cluster_id is the smallest id.  Records are never merged.
     """
-    found = links(facts(parties))
+    found = pinned(links(facts(parties)), "links")
     roots = connected_components(found, "a", "b")
     strength = F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv])
     weakest = found.join(roots, found["a"] == roots["node"]).groupBy("root").agg(F.min_by("basis", F.struct(F.try_element_at(strength, F.col("basis")), "basis")).alias("basis"))

@@ -69,9 +69,9 @@ def chains(owners: DataFrame, blocked: DataFrame, depth: int = MOST_DEPTH) -> Da
 
 def profile(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One row for each party node with any ownership or control link."""
-    nodes = canonical(parties, members)
+    nodes = pinned(canonical(parties, members), "nodes")
     owners = pinned(owner_links(parties, nodes), "owners")
-    found = chains(owners, blocking_nodes(parties, nodes))
+    found = pinned(chains(owners, blocking_nodes(parties, nodes)), "chains")
     above = found.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("hops", "owner", "path"))).alias("blocked_owners"),
         F.count_if(F.col("hops") == 1).alias("direct"),
@@ -99,8 +99,8 @@ def groups(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
 
     The label is the member that owns most others, the first name among equals.
     """
-    nodes = canonical(parties, members)
-    owners = owner_links(parties, nodes)
+    nodes = pinned(canonical(parties, members), "nodes")
+    owners = pinned(owner_links(parties, nodes), "owners")
     roots = connected_components(owners, "owner", "owned")
     owned = owners.groupBy(F.col("owner").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     named = parties.select(F.col("id").alias("node"), "name")

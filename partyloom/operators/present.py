@@ -37,7 +37,7 @@ def determination(authority: Column, lists: Column, blocking: Column) -> Column:
         out = out.when(authority == a, f"{a} asset freeze")
     out = out.when(blocking, "Block")
     for part, word in NARROW:
-        out = out.when(F.exists(lists, lambda x, part=part: x.contains(part)), word)
+        out = out.when(F.contains(F.array_join(lists, "\n"), F.lit(part)), word)
     return out.otherwise("Potential block: review")
 
 

@@ -36,13 +36,14 @@ def from_rows(rows: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(known), "source").where(clean(F.col("name")) != "")
     many = lambda k: F.filter(F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), clean), lambda x: x != "")
     attr = lambda group, label, value: F.struct(F.lit(group).alias("group"), F.lit(label).alias("label"), value.alias("value"))
+    stated = lambda label: lambda v: attr("Identity", label, v)
     name = clean(F.col("name"))
     shape = lambda n, t, main: F.struct(n.alias("name"), F.lit(t).alias("type"), F.lit(main).alias("primary"), F.lit(False).alias("lowQuality"), F.lit("Latin").alias("script"), F.lit("").alias("native"), F.array().cast("array<string>").alias("parts"))
     vessel = F.greatest(*[F.length(clean(F.col(k))) for k in ("vessel_type", "call_sign", "vessel_flag")]) > 0
     person = F.greatest(*[F.size(F.coalesce(F.col(k), F.array().cast("array<string>"))) for k in ("dates_of_birth", "places_of_birth", "nationalities", "citizenships")]) > 0
     order = clean(F.col("standard_order"))
     attributes = F.concat(
-        *[F.transform(many(k), lambda v, label=label: attr("Identity", label, v)) for k, label in (("dates_of_birth", "Date of Birth"), ("places_of_birth", "Place of Birth"), ("nationalities", "Nationality"), ("citizenships", "Citizenship"))],
+        *[F.transform(many(k), stated(label)) for k, label in (("dates_of_birth", "Date of Birth"), ("places_of_birth", "Place of Birth"), ("nationalities", "Nationality"), ("citizenships", "Citizenship"))],
         F.filter(
             F.array(
                 attr("Program", "Licence requirement", clean(F.col("license_requirement"))),

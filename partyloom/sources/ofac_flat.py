@@ -64,7 +64,7 @@ def _segment(seg: Column) -> Column:
 
 def parse_remarks(remarks: Column) -> tuple[Column, Column]:
     """(attributes, identifiers) of a remarks text, in its order."""
-    segments = F.filter(F.transform(F.split(F.coalesce(remarks, F.lit("")), ";"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(F.coalesce(remarks, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
     told = F.transform(segments, _segment)
     attributes = F.transform(told, lambda t: F.struct(t["group"].alias("group"), t["label"].alias("label"), t["value"].alias("value")))
     identifiers = F.transform(F.filter(told, lambda t: t["id_value"] != ""), lambda t: F.struct(t["id_type"].alias("type"), t["id_value"].alias("value")))
@@ -111,7 +111,7 @@ def stitch(prim: DataFrame, alt: DataFrame, add: DataFrame, list_label: str) ->
         F.when(F.col("type") == "", "Individual").otherwise(F.col("type")).alias("type"),
         "name",
         "title",
-        F.filter(F.transform(F.split("program", "[;/]"), F.trim), lambda x: x != "").alias("programs"),
+        F.filter(F.transform(F.split("program", "[;/]"), lambda s: F.trim(s)), lambda x: x != "").alias("programs"),
         "remarks",
         F.concat(primary.cast(COLUMNS["names"]), items("more_names", COLUMNS["names"])).alias("names"),
         items("places", COLUMNS["addresses"]).alias("addresses"),
