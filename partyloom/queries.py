@@ -111,12 +111,12 @@ def a10_distinct_carriers(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(upper(text), '[A-Z0-9]+')) AS token FROM documents WHERE lang = 'en')"
+    "WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: upper(x))) AS token FROM documents WHERE lang = 'en')"
     " SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents WHERE lang = 'en') + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY token"
 )
 def a11_m8_token_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]+"), F.lit(0)))).alias("token")).distinct()
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("token")).select("doc_id", F.upper("token").alias("token")).distinct()
     n = docs.count()
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1, 6))
 
