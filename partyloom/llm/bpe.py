@@ -32,6 +32,8 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 LETTER, NUMBER, SPACE, OTHER, EDGE = 0, 1, 2, 3, 4
 #: Distinct pieces kept per worker before the cache starts anew.
 CACHE_PIECES = 300_000
+#: Text bytes encoded at once: the index arrays of one step stay in a core's cache.
+STEP_BYTES = 1 << 18
 
 
 @functools.cache
@@ -284,7 +286,7 @@ def encode(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
         held = vocabulary(vocab)
         for batch in batches:
             offsets, flat = string_views(batch.column(1))
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP_BYTES):
                 ids, at, token_at = held.encode(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 local = token_at - np.repeat(offsets[lo:hi] - offsets[lo], np.diff(at))
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ids, local)]
@@ -316,7 +318,7 @@ def digests(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "
         held = vocabulary(vocab)
         for batch in batches:
             offsets, flat = string_views(batch.column(1))
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP_BYTES):
                 ids, at, _ = held.encode(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 spelled, decoded = held.decimal(ids).tobytes(), held.decode(ids).tobytes()
                 spelled_at = np.concatenate([[0], np.cumsum(held.text_lengths[ids])])[at].tolist()
