@@ -28,7 +28,7 @@ from partyloom.llm.common import materialize
 
 K = 20
 SUB, CENTRES = 2, 16
-FIT_ROWS, RERANK = 8192, 64
+FIT_ROWS, RERANK = 8192, 128
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
