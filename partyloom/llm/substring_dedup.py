@@ -120,6 +120,20 @@ def text_anchors(flat: np.ndarray, offsets: np.ndarray):
             at += int(first[-1])
 
 
+def anchor_hashes(flat: np.ndarray, offsets: np.ndarray):
+    """(text, hash) of text_anchors, with all pieces of a long text together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for text, _, _, _, h in text_anchors(flat, offsets):
+        if not len(h):
+            continue
+        if held and held[-1][0][-1] != text[0]:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        held.append((text, h))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(df[text_col], F.lit(""))
     return df.select(df[id_col].alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
@@ -141,8 +155,8 @@ def _anchor_keys(batches):
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         fresh = np.array([k not in seen and not seen.add(k) for k in zip(k1.tolist(), k2, strict=True)], bool)
         offsets, flat = string_views(batch.column(2))
-        for text, _, _, _, h in text_anchors(flat, offsets):
-            keep = fresh[text] if len(text) else np.zeros(0, bool)
+        for text, h in anchor_hashes(flat, offsets):
+            keep = fresh[text]
             text, h = text[keep], h[keep]
             if not len(h):
                 continue

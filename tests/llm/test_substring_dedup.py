@@ -5,7 +5,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle as pickle
 
 from partyloom.llm import substring_dedup as sub
 
@@ -65,3 +67,32 @@ def test_long_texts_in_pieces(monkeypatch):
 def test_interval_tree():
     assert sorted(sub.intervals([3, 3, 1, 5])) == [(0, 3, 3), (0, 5, 1), (3, 5, 5)]
     assert sub.intervals([]) == [] and sub.intervals([0]) == [(0, 2, 0)]
+
+
+def test_repeats_across_pieces_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(sub, "PIECE", 900)
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    one, two, three = noise(260), noise(230), noise(200)
+    texts = [noise(3000) + one + noise(3000) + one + noise(2500) + one + noise(100), noise(40) + two + noise(5000) + two, three + noise(2700) + three, noise(7000), two[:199] + noise(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pickle.register_pickle_by_value(sub)  # workers take PIECE along
+    try:
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).hex()) for r in sub.remove_repeats(df).collect())
+    finally:
+        pickle.unregister_pickle_by_value(sub)
+    assert got == list(brute(texts))
+    assert [r[3] for r in got[:4]] == [3, 2, 2, 0]
+
+
+def test_marks_of_anchors_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one = noise(300)
+    texts = ["short", noise(3000) + one + noise(3000) + one, noise(500), "ab" * 2500, noise(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 20, 30, 40, 50]), pa.array([1, 2, 3, 4, 5]), pa.array(texts)], ["k1", "k2", "text"])
+    marks = lambda: sorted(r for b in sub._anchor_keys(iter([batch, batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    whole = marks()
+    assert any(k == 21 for _, k in whole)
+    monkeypatch.setattr(sub, "PIECE", 900)
+    assert marks() == whole
