@@ -121,6 +121,21 @@ def a11_m8_token_idf(spark, sf_dir):
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1, 6))
 
 
+@query(
+    "WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: upper(x))) AS token FROM documents)"
+    " SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY token"
+)
+def a11_m8_token_idf_all(spark, sf_dir):
+    """Documents of every language and of none.  Tokens of a text are told apart in its row; only repeated ids need a shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    own = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.upper))
+    words = docs.select("doc_id", F.explode(own).alias("token"))
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        words = words.distinct()
+    n = docs.count()
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1, 6))
+
+
 @query(f"SELECT list_sort(list(DISTINCT authority)) AS authorities, list_sort(list(DISTINCT list)) AS lists FROM ({LISTINGS})")
 def a12_facets(spark, sf_dir):
     return listings(spark, sf_dir).agg(F.array_sort(F.collect_set("authority")).alias("authorities"), F.array_sort(F.collect_set("list")).alias("lists"))
