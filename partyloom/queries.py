@@ -260,6 +260,21 @@ def j10_interval_overlap(spark, sf_dir):
     return met.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
 
 
+@query(
+    "WITH s AS (SELECT o_custkey, min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders GROUP BY 1), y AS (SELECT c_nationkey, c_custkey, lo, hi FROM s JOIN customer ON c_custkey = o_custkey)"
+    " SELECT a.c_custkey AS c_custkey, count(*) - 1 AS overlaps FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1"
+)
+def j10_overlap_counts(spark, sf_dir):
+    """For each customer with dated orders how many others of the nation have overlapping years: equal spans are counted first, so no pairs of customers are formed."""
+    spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    y = spans.join(c, spans["o_custkey"] == c["c_custkey"]).select("c_nationkey", "c_custkey", "lo", "hi")
+    counted = y.groupBy("c_nationkey", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    a, b = counted.select("c_nationkey", "lo", "hi"), counted.select("c_nationkey", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "n")
+    met = a.join(b, "c_nationkey").where("lo <= hi2 AND lo2 <= hi").groupBy("c_nationkey", "lo", "hi").agg((F.sum("n") - 1).alias("overlaps"))
+    return y.join(met, ["c_nationkey", "lo", "hi"]).select("c_custkey", "overlaps")
+
+
 @query("SELECT event_id, CAST(nullif(regexp_extract(props, '\"k\": *(\\d+)', 1), '') AS BIGINT) AS k FROM events")
 def s12_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
