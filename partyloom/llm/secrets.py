@@ -35,6 +35,11 @@ LINK_CHARS = 400
 BLANK = re.compile(rb"\n[\x20\t\r]*\n")
 
 
+def code_points(text: bytes) -> np.ndarray:
+    """How many code points begin before each byte, and in all."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) in bytes of the strong spans."""
     out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -69,9 +74,11 @@ def linked_spans(text: bytes, base: list[tuple[int, int, int]], reach: int = LIN
     secrets = sorted(opaque + [(a, b) for a, b, k in base if k != 1])
     cuts = np.array([0, *[m.end() for m in BLANK.finditer(text)]])
     scope = lambda x: np.searchsorted(cuts, np.array([a for a, _ in x], np.int64), side="right")
+    heads = None if text.isascii() else code_points(text)
     # scopes lie further apart than any reach: positions in different scopes never meet
     gap = reach + len(text) + 1
-    lay = lambda x: (np.array(x, np.int64).reshape(-1, 2) + (scope(x) * gap)[:, None]) if x else np.zeros((0, 2), np.int64)
+    places = lambda x: np.array(x, np.int64) if heads is None else heads[np.array(x, np.int64)]
+    lay = lambda x: (places(x).reshape(-1, 2) + (scope(x) * gap)[:, None]) if x else np.zeros((0, 2), np.int64)
     laid = {"user": lay(ids), "secret": lay(secrets), "endpoint": lay(endpoint)}
     out = []
     for kind, own, needs in ((3, user, ("secret", "endpoint")), (4, opaque, ("user", "endpoint")), (5, endpoint, ("user", "secret"))):
@@ -87,7 +94,7 @@ def scan_text(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = base_spans(text)
     every = base + linked_spans(text, base)
     if every and not text.isascii():
-        heads = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        heads = code_points(text)
         every = [(int(heads[a]), int(heads[b]), k) for a, b, k in every]
     every.sort(key=lambda x: (x[0], x[2], x[1]))
     return [x for x in every if x[2] < 3], every

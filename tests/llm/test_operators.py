@@ -206,6 +206,14 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_links_reach_in_code_points():
+    parts = lambda gap: f"user: jane {gap} https://h.example Zk81jQx9LmPq02RtYw77"
+    kinds = lambda text: [secrets.KINDS[k] for _, _, k in secrets.scan_text(text.encode())[1]]
+    for letter in "yé漢😀":
+        assert kinds(parts(letter * 350)) == ["user", "endpoint", "opaque"], letter
+        assert kinds(parts(letter * 401)) == [], letter
+
+
 def test_mixing(spark, docs, nothing):
     out = mixing.mix(docs).collect()
     sizes = Counter()
