@@ -48,11 +48,12 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def _near(points: np.ndarray, start: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
-    """Whether some interval [a, b) of points (n, 2), sorted by a and disjoint, lies within reach of [start, end)."""
+    """Whether some interval [a, b) of points (n, 2), sorted by a, lies within reach of [start, end); intervals may overlap."""
     if not len(points):
         return np.zeros(len(start), bool)
-    first = np.searchsorted(points[:, 1], start - reach, side="left")  # the first that does not end too early
-    return (first < len(points)) & (points[np.minimum(first, len(points) - 1), 0] <= end + reach)
+    begun = np.searchsorted(points[:, 0], end + reach, side="right")  # those that do not begin too late
+    reached = np.maximum.accumulate(points[:, 1])
+    return (begun > 0) & (reached[np.maximum(begun - 1, 0)] >= start - reach)
 
 
 def linked_spans(text: bytes, base: list[tuple[int, int, int]], reach: int = LINK_CHARS) -> list[tuple[int, int, int]]:

@@ -214,6 +214,18 @@ def test_links_reach_in_code_points():
         assert kinds(parts(letter * 401)) == [], letter
 
 
+def test_links_with_nested_parts():
+    rng = random.Random(6)
+    for _ in range(300):
+        points = sorted((a, a + rng.choice([1, 5, 60])) for a in rng.choices(range(300), k=rng.randrange(6)))
+        own = [(a, a + rng.randrange(1, 9)) for a in rng.choices(range(300), k=8)]
+        at = np.array(own)
+        got = secrets._near(np.array(points, np.int64).reshape(-1, 2), at[:, 0], at[:, 1], 20)
+        assert got.tolist() == [any(b >= s - 20 and a <= e + 20 for a, b in points) for s, e in own]
+    text = "token=abc." + "0a" * 12 + "." + "x" * 400 + " " + "z " * 150 + "user: jane https://h.example"
+    assert [secrets.KINDS[k] for _, _, k in secrets.scan_text(text.encode())[1]] == ["assign", "hex", "user", "endpoint"]
+
+
 def test_mixing(spark, docs, nothing):
     out = mixing.mix(docs).collect()
     sizes = Counter()
