@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,17 @@ from partyloom.llm.common import ragged, row_chunks, string_views
 #: White space of the pattern's \s: the Unicode property White_Space (fixed values).
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LETTER, NUMBER, SPACE, OTHER, EDGE = 0, 1, 2, 3, 4
+#: Classes are those of Unicode 16, whatever the worker's Python knows.  Fixed values: letters and
+#: numbers (first, last) that Unicode 15.1 and 16 added to those of Unicode 15.0.
+NEW_LETTERS = (
+    (0x2EBF0, 0x2EE5D),
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: CRC-32 of the whole class table; a Python whose table differs must not encode.
+CLASSES_CRC = 0xE6A7F41C
 #: Distinct pieces kept per worker before the cache starts anew.
 CACHE_PIECES = 300_000
 #: Text bytes encoded at once: the index arrays of one step stay in a core's cache.
@@ -38,10 +50,18 @@ STEP_BYTES = 1 << 18
 
 @functools.cache
 def class_table() -> np.ndarray:
-    """Class of each codepoint, from the general categories."""
+    """Class of each codepoint, from the general categories and what newer Unicode versions added.
+
+    Raises where the worker's Python can't give the classes of Unicode 16.
+    """
     kind = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    for ranges, value in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            out[first : last + 1] = value
     out[list(WHITE_SPACE)] = SPACE
+    if zlib.crc32(out.tobytes()) != CLASSES_CRC:
+        raise RuntimeError(f"Unicode {unicodedata.unidata_version} of this Python doesn't give the character classes of Unicode 16")
     return out
 
 
