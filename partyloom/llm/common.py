@@ -18,16 +18,16 @@ WORD_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares.  Where it is unset a local session gets one of its own; a cluster is refused."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held.rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="partyloom-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -48,6 +48,13 @@ def crc_mod(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def hash_sample(columns: list, salt: int, want: int, count: int) -> Column:
+    """Whether a row is among about `want` of `count` rows, by the 64-bit hash of its columns; holds at any count."""
+    if count <= want:
+        return F.lit(True)
+    return F.xxhash64(*columns, F.lit(salt)) < F.lit(-(1 << 63) + (want << 64) // count)
+
+
 def string_views(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array without copying; null counts as empty."""
     if arr.null_count:
