@@ -3,8 +3,8 @@
 Learned filters over WIDTH bytes run over the whole document.  Overlapping chunks of CHUNK bytes,
 each starting half a chunk after the one before, are max-pooled per filter; a small hidden layer
 turns each chunk's maxima into one logit, and the mean over all chunks gives the probability.
-Training is Adam on a bounded sample: at most `max_rows` labelled documents (chosen by a hash of
-the id) with at most `max_chunks` chunks each, spread evenly over the document.
+Training is Adam on the whole texts of a bounded sample: at most `max_rows` labelled documents,
+chosen by a hash of the id, one row an id.
 
 Scores depend on the text alone.  Null and empty texts are scored as a single empty chunk.
 Documents with a null id are never learned from and count as held out.  Repeated rows repeat in
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partyloom.llm.common import crc_mod, row_chunks, string_views
+from partyloom.llm.common import crc_mod, hash_sample, row_chunks, string_views
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 8, 16, 12, 256
 HALF = CHUNK // 2
 PAD = 256
-MAX_ROWS, MAX_CHUNKS, EPOCHS = 3000, 16, 8
+MAX_ROWS, EPOCHS = 3000, 6
 CUT = 0.3
 
 
@@ -97,8 +97,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + float(self.bias[0]), -30, 30)))
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0, batch: int = 16) -> Model:
-    """chunks: for each document an array (n, CHUNK + WIDTH) of symbols."""
+def pooled_at(symbols: np.ndarray, halves: np.ndarray, filters: np.ndarray, tile: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Like convolve, with the start position of each maximum."""
+    over = ((np.cumsum(halves) * HALF)[:, None] - np.arange(WIDTH - 1, 0, -1)[None, :]).ravel()
+    n = (len(symbols) - WIDTH) // HALF
+    best, at = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
+    step = tile // HALF
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        x = symbols[lo * HALF : hi * HALF + WIDTH]
+        size = (hi - lo) * HALF
+        run = filters[0][x[:size]]
+        for j in range(1, WIDTH):
+            run += filters[j][x[j : j + size]]
+        a, b = np.searchsorted(over, (lo * HALF, hi * HALF))
+        run[over[a:b] - lo * HALF] = -np.inf
+        grid = np.ascontiguousarray(run.reshape(hi - lo, HALF, FILTERS).transpose(0, 2, 1))
+        place = grid.argmax(axis=2)
+        best[lo:hi] = np.take_along_axis(grid, place[:, :, None], 2)[:, :, 0]
+        at[lo:hi] = place + (np.arange(lo, hi) * HALF)[:, None]
+    return best, at
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0, batch: int = 16) -> Model:
+    """Whole texts, a batch of documents at a time."""
     model = Model(seed)
     n = len(labels)
     if n == 0 or labels.min() == labels.max():
@@ -108,32 +130,33 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, se
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     m, v, t = [np.zeros_like(p) for p in model.parts], [np.zeros_like(p) for p in model.parts], 0
+    columns = np.arange(FILTERS)
     for epoch in range(epochs):
         order = rng.permutation(n)
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         for lo in range(0, n, batch):
             docs = order[lo : lo + batch]
-            x = np.concatenate([chunks[d] for d in docs])
-            counts = np.array([len(chunks[d]) for d in docs])
+            parts = [np.frombuffer(texts[d], np.uint8) for d in docs]
+            symbols, halves = lay_out(np.concatenate(parts), np.concatenate([[0], np.cumsum([*map(len, parts)])]))
+            best, at = pooled_at(symbols, halves, model.filters)
+            inside = np.ones(len(best), bool)
+            inside[np.cumsum(halves) - 1] = False  # the last half-chunk of a text begins no chunk
+            own = np.flatnonzero(inside)
+            second = best[own + 1] > best[own]
+            pooled, at = np.where(second, best[own + 1], best[own]), np.where(second, at[own + 1], at[own])
+            counts = halves - 1
             owner = np.repeat(np.arange(len(docs)), counts)
-            run = model.filters[0][x[:, :CHUNK]]
-            for j in range(1, WIDTH):
-                run += model.filters[j][x[:, j : j + CHUNK]]
-            at = run.argmax(axis=1)  # (chunks, FILTERS)
-            pooled = np.take_along_axis(run, at[:, None, :], axis=1)[:, 0]
             hidden = np.tanh(pooled @ model.hidden + model.hidden_bias)
             logit = np.bincount(owner, hidden @ model.out, len(docs)) / counts + model.bias[0]
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             d = ((p - labels[docs]) * weight[docs] / len(docs)).astype(np.float32)
             d_chunk = (d / counts)[owner].astype(np.float32)
             d_hidden = d_chunk[:, None] * model.out[None, :] * (1 - hidden**2)
-            d_pooled = d_hidden @ model.hidden.T
+            d_pooled = (d_hidden @ model.hidden.T).ravel()
             g = [np.zeros_like(p) for p in model.parts]
-            f = np.broadcast_to(np.arange(FILTERS), at.shape)
-            rows = np.arange(len(x))[:, None]
             for j in range(WIDTH):
-                key = x[rows, at + j].astype(np.int64) * FILTERS + f
-                g[0][j] = np.bincount(key.ravel(), d_pooled.ravel(), 257 * FILTERS).reshape(257, FILTERS)
+                key = symbols[at + j].astype(np.int64) * FILTERS + columns
+                g[0][j] = np.bincount(key.ravel(), d_pooled, 257 * FILTERS).reshape(257, FILTERS)
             g[1], g[2], g[3], g[4] = pooled.T @ d_hidden, d_hidden.sum(0), hidden.T @ d_chunk, d.sum(keepdims=True)
             t += 1
             for k, part in enumerate(model.parts):
@@ -143,38 +166,23 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, se
     return model
 
 
-def text_chunks(text: bytes, most: int = MAX_CHUNKS) -> np.ndarray:
-    """Up to `most` of the chunks that `probability` would pool, spread evenly, as symbols."""
-    symbols, halves = lay_out(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    total = int(halves[0]) - 1
-    picks = np.unique(np.linspace(0, total - 1, min(most, total)).round().astype(int))
-    return symbols[(picks * HALF)[:, None] + np.arange(CHUNK + WIDTH)[None, :]]
-
-
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, modulus: int = 5) -> DataFrame:
-    """(doc_id, quality) of at most about max_rows labelled rows that may be learned from."""
-    may = labels.where((crc_mod(F.col("doc_id"), modulus) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    count = may.count()
-    if count > max_rows:
-        may = may.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_rows / count))
-    return may.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """(doc_id, quality, text): at most `max_rows` labelled documents that may be learned from.
 
+    An id with several labels counts as good if one says so; an id on several rows gives its
+    first text in order.  Each task collapses such rows before they move.
+    """
+    may = labels.where((crc_mod(F.col("doc_id"), modulus) != 0) & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    some = may.where(hash_sample(["doc_id"], 17, max_rows, may.count())).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = some.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
+    return rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS, epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """Train on the bounded sample; executors cut the chunks, so the driver gets bounded bytes."""
-    chosen = sample(docs, labels, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
-    def cut(batches):
-        for batch in batches:
-            offsets, flat = string_views(batch.column(2))
-            data = [text_chunks(flat[a:b].tobytes(), max_chunks).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    got = rows.mapInArrow(cut, "doc_id long, quality int, chunks binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["chunks"]))
-    chunks = [np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK + WIDTH) for r in got]
-    return train(chunks, np.array([r["quality"] for r in got], np.float64), epochs, seed)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, seed: int = 0) -> Model:
+    """Train on the bounded sample."""
+    got = sorted(map(tuple, sample(docs, labels, max_rows).collect()), key=lambda r: r[0])
+    return train([(text or "").encode() for _, _, text in got], np.array([q for _, q, _ in got], np.float64), epochs, seed)
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
