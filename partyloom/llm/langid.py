@@ -2,8 +2,8 @@
 
 Subwords are byte n-grams of 2, 3 and 4 bytes over the text with ASCII letters lowered and every
 other ASCII byte turned into a blank, hashed into BUCKETS embeddings.  The average of a text's
-embeddings feeds a linear softmax; both are trained by stochastic gradient descent on a bounded
-sample (at most `max_rows` documents by a hash of the id, at most `max_bytes` spread over each).
+embeddings feeds a linear softmax; both are trained by stochastic gradient descent on the whole
+texts of a bounded sample: at most `max_rows` documents, chosen by a hash of the id, one row an id.
 A temperature fitted on a part kept back calibrates the probabilities, and a score below the
 calibrated `floor` marks the prediction as rejected, without changing it.
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partyloom.llm.common import crc_mod, row_chunks, segment_sum, string_views
+from partyloom.llm.common import crc_mod, hash_sample, row_chunks, segment_sum, string_views
 
 ORDERS = (2, 3, 4)
 BUCKETS, DIM = 1 << 14, 16
-MAX_ROWS, MAX_BYTES, EPOCHS = 2500, 2000, 6
+MAX_ROWS, EPOCHS = 2500, 6
 UNKNOWN = "und"
 
 
@@ -132,30 +132,22 @@ def train(texts: list[bytes], langs: list[str], epochs: int = EPOCHS, seed: int
     return Model(names, (emb @ out * t).astype(np.float32), (bias * t).astype(np.float64), floor)
 
 
-def spread(text: bytes, most: int) -> bytes:
-    """At most `most` bytes, in eight pieces spread over the text."""
-    if len(text) <= most:
-        return text
-    piece = most // 8
-    return b" ".join(text[a : a + piece] for a in np.linspace(0, len(text) - piece, 8).astype(int).tolist())
+def sample(docs: DataFrame, max_rows: int = MAX_ROWS, modulus: int = 3, out: int = 1) -> DataFrame:
+    """(doc_id, lang, text): at most `max_rows` documents that may be learned from.
 
+    An id on several rows gives its first language and text in order; each task collapses such
+    rows before they move.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((crc_mod(F.col("doc_id"), modulus) != out) & F.col("lang").isNotNull())
+    some = rows.where(hash_sample(["doc_id"], 29, max_rows, rows.count()))
+    one = some.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
+    return one.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(max_rows)
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, modulus: int = 3, out: int = 1, epochs: int = EPOCHS, seed: int = 0) -> Model | None:
-    """Train on documents with a language whose crc32(doc_id) mod `modulus` is not `out`."""
-    rows = docs.select("doc_id", "lang", "text").where((crc_mod(F.col("doc_id"), modulus) != out) & F.col("lang").isNotNull())
-    count = rows.count()
-    if count > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < max(1, int(1_000_000 * max_rows / count)))
-
-    def cut(batches):
-        for batch in batches:
-            offsets, flat = string_views(batch.column(2))
-            data = [spread(flat[a:b].tobytes(), max_bytes) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "lang", "text"])
 
-    got = rows.mapInArrow(cut, "doc_id long, lang string, text binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["text"])))
-    return train([bytes(r["text"]) for r in got], [r["lang"] for r in got], epochs, seed)
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, modulus: int = 3, out: int = 1, epochs: int = EPOCHS, seed: int = 0) -> Model | None:
+    """Train on documents with a language whose crc32(doc_id) mod `modulus` is not `out`."""
+    got = sorted(map(tuple, sample(docs, max_rows, modulus, out).collect()), key=lambda r: r[0])
+    return train([(text or "").encode() for _, _, text in got], [lang for _, lang, _ in got], epochs, seed)
 
 
 def has_letter(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
