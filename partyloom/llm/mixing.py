@@ -4,7 +4,7 @@ Each document of a source gets the copy probability target / source size, at mos
 part is taken outright.  The fractional parts are rounded in pairs: mass moves from one document
 to the other, in units of words, until one of the two is integral; which way it moves is random
 and keeps every document's expectation, and the pair's words never change.  A leaf of the
-reduction tree holds the documents of one source whose id hashes to it and leaves one fractional
+reduction tree holds the documents of one source whose id and text hash to it and leaves one fractional
 document at most; leaves then meet FAN at a time, level by level, until one fractional document
 remains for each source, which is rounded by itself.  So a source's taken words differ from its
 target by less than one document.  A source of any size is spread over its leaves.
@@ -106,7 +106,7 @@ def _dealer(order: list[str], seed: int, level: int, last: bool):
 
 
 def copies(rows: DataFrame, ratio_of: dict, seed: int = 0) -> DataFrame:
-    """rows: (id, source, size) and any carried columns; adds `copies`, the whole number of times each row is taken."""
+    """rows: (id, source, size, __h) and any carried columns; __h tells documents with one id apart; adds `copies`, the whole number of times each row is taken."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(s, float(r)) for s, r in ratio_of.items()] or [(None, 0.0)], "__s string, __ratio double")
     rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["__s"]), "left").drop("__s")
@@ -118,7 +118,7 @@ def copies(rows: DataFrame, ratio_of: dict, seed: int = 0) -> DataFrame:
     count = rows.count()
     leaves = max(1, math.ceil(count / LEAF_ROWS))
     depth = max(1, math.ceil(math.log(leaves, FAN))) if leaves > 1 else 0
-    open_ = open_.withColumn("__leaf", F.pmod(F.xxhash64("id", "size"), F.lit(leaves)).cast("long"))
+    open_ = open_.withColumn("__leaf", F.pmod(F.xxhash64("id", "size", "__h"), F.lit(leaves)).cast("long"))
     extra = [c for c in rows.columns if c not in ("id", "source", "size", "__ratio", "__part", "__whole")]
     order = ["id", "size", *extra]
 
@@ -137,7 +137,7 @@ def copies(rows: DataFrame, ratio_of: dict, seed: int = 0) -> DataFrame:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple = (), weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """(id, size, source_size, target, copies, taken) and the carried columns, for each row of df."""
     size = F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(df[id_col].alias("id"), df[source_col].alias("source"), size.alias("size"), *[df[c].alias(f"c_{c}") for c in carry])
+    rows = df.select(df[id_col].alias("id"), df[source_col].alias("source"), size.alias("size"), F.xxhash64(df[text_col]).alias("__h"), *[df[c].alias(f"c_{c}") for c in carry])
     rows = materialize(rows, "sizes")
     sums = [(r["source"], r["s"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()]  # one row a source
     goal = targets(sums, weights, share, most) if sums else {}
