@@ -10,12 +10,15 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from partyloom.llm import ann, bpe, exact_dedup, langid, mixing, quality, queries, secrets, simhash, url_filter
+from partyloom.llm.common import hash_sample
+from partyloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, fp int, digest int"
@@ -78,6 +81,27 @@ def test_bpe_boundaries_like_tiktoken():
     assert starts.tolist() == (np.cumsum(held.lengths[ids]) - held.lengths[ids]).tolist()
 
 
+def test_bpe_classes_like_tiktoken():
+    """Every code point's class is the one of the library; new and sampled ones also give its ids in several contexts."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    table = bpe.class_table()
+    for pattern, kind in ((r"\p{L}", bpe.LETTER), (r"\p{N}", bpe.NUMBER), (r"\s", bpe.SPACE)):
+        of = tiktoken.Encoding("of", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = bytes(of.encode_ordinary("".join(map(chr, every)))).decode()  # only what the pattern matches
+        assert [ord(c) for c in found] == [c for c in every if table[c] == kind]
+    path = public_tokenizers.path(queries.VOCAB)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    held = bpe.Vocabulary(path)
+    new = {c for a, b in (*bpe.NEW_LETTERS, *bpe.NEW_NUMBERS) for c in (a, b)}
+    part = [chr(c) for c in every if c in new or c % 311 == 0]
+    for before, after in (("", ""), ("a", "b"), ("1", "2"), (" ", " x"), ("!", "?"), ("\n", "\n")):
+        data = [(before + c + after).encode() for c in part]
+        ids, at, _ = held.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([*map(len, data)])]))
+        want = [own.encode_ordinary(before + c + after) for c in part]
+        assert ids.tolist() == [i for x in want for i in x] and np.diff(at).tolist() == [*map(len, want)], (before, after)
+
+
 @pytest.mark.parametrize("keep", ["low", "high"])
 def test_exact_dedup(spark, docs, nothing, keep):
     groups = defaultdict(list)
@@ -154,6 +178,66 @@ def test_simhash_links_keep_every_component(spark, n, monkeypatch):
     assert parts(found) == parts((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3)
 
 
+def test_simhash_large_sets_are_dealt_again(monkeypatch):
+    """Sets above MOST_HELD go on as variants and lose no component, however the stream is cut into batches."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(1 << 63))
+    fps = np.unique([base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(220)]).astype(np.uint64)
+    monkeypatch.setattr(simhash, "MOST_HELD", 20)
+    monkeypatch.setattr(simhash, "DIRECT", 8)
+    rows = []
+    for f in fps.tolist():
+        for tag, half in ((0, f & 0xFFFFFFFF), (1, f >> 32)):
+            rows += [(tag << 32 | (half ^ v), f - (f >> 63 << 64)) for v in [0, *(1 << i for i in range(32))]]
+    rows.sort(key=lambda r: r[0])
+    batch = lambda part, names: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names)
+    found = [r for b in simhash._links((batch(rows[i : i + 97], ["key", "fp"]) for i in range(0, len(rows), 97)), 3) for r in b.to_pylist()]
+    dealt = sorted((r["key"], r["variant"], r["cost"], r["fp"]) for r in found if r["key"] is not None)
+    assert dealt
+    more = [r for b in simhash._dealt_links((batch(dealt[i : i + 1000], ["key", "variant", "cost", "fp"]) for i in range(0, len(dealt), 1000)), 3) for r in b.to_pylist()]
+    edges = {(r["a"] % 2**64, r["b"] % 2**64) for r in found if r["key"] is None} | {(r["a"] % 2**64, r["b"] % 2**64) for r in more}
+    assert all((a ^ b).bit_count() <= 3 for a, b in edges)
+
+    def parts(links):
+        root = {x: x for x in fps.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return Counter(find(x) for x in root).values()
+
+    want = [(a, b) for a in fps.tolist() for b in fps.tolist() if a < b and (a ^ b).bit_count() <= 3]
+    assert sorted(parts(edges)) == sorted(parts(want))
+
+
+def test_components_with_hubs(spark):
+    edges = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(5000, 5040)] + [(9000, 9000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3001)} | {i: 5000 for i in range(5000, 5041)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_samples_hold_at_any_count(spark):
+    ids = spark.range(200_000)
+    for want, count in ((3000, 200_000), (500, 2_000_000), (10, 5)):
+        n = ids.where(hash_sample(["id"], 1, want, count)).count()
+        assert abs(n - min(200_000, 200_000 * want / count)) <= 5 * (200_000 * want / count) ** 0.5 + 1
+    share = ((3000 << 64) // 10**10) / 2**64
+    assert abs(share * 10**10 - 3000) < 1e-3
+
+
+def test_samples_are_bounded_in_rows(spark):
+    rows = [(7, f"text {i}", "en") for i in range(500)] + [(i, "some words here", "fr") for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.select("doc_id", F.lit(1).alias("quality"))
+    assert langid.sample(df, 40).count() <= 40 and quality.sample(df, labels, 40).count() <= 40
+    assert langid.sample(df).groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 RULES = [("net", "/es/"), ("net", "/fr/"), ("com", "/"), ("example.com", "/en/"), ("www.example.com", "/en/")]
 URLS = [None, "", "nothing", "http://", "http://COM/", "http://com", "https://WWW.Example.com/en/x?y#z", "ftp://example.com/en/", "http://example.com/EN/",
         "http://notexample.com/en/", "http://a.net/es/1", "http://net/fr/", "http://a.net/es", "x://y.com?q=/en/", "http://u:p@example.com:80/en/", "://example.com/en/\n",
@@ -176,6 +260,7 @@ def test_url_filter(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, e string")
     got = Counter(map(tuple, url_filter.judge(df, url_filter.rule_table(spark)).collect()))
     assert got == Counter((r[0], *brute(r[1])) for r in rows)
+    assert got == Counter(map(tuple, url_filter.judge(df, url_filter.rule_table(spark), most_broadcast=0, salts=3).collect()))
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).count() == 0
     assert {r["verdict"] for r in url_filter.judge(df, url_filter.rule_table(spark, [("block", "a", "/")]).limit(0)).collect()} == {"allow"}
 
@@ -226,6 +311,30 @@ def test_links_with_nested_parts():
     assert [secrets.KINDS[k] for _, _, k in secrets.scan_text(text.encode())[1]] == ["assign", "hex", "user", "endpoint"]
 
 
+def brute_links(text, reach=secrets.LINK_CHARS):
+    """Weak parts by comparing all parts of a text with all others, in code points."""
+    strong = [(a, b, k) for k, a, b in brute_base(text)]
+    find = lambda pattern: [(m.start(), m.end()) for m in re.finditer(pattern.pattern.decode(), text, pattern.flags & re.I | re.A)]
+    user, endpoint = find(secrets.USER), find(secrets.ENDPOINT)
+    opaque = [(a, b) for a, b in find(secrets.OPAQUE) if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]) and not any(x < b and y > a for x, y, _ in strong)]
+    ends = [m.end() for m in re.finditer(secrets.BLANK.pattern.decode(), text)]
+    scope = lambda a: sum(e <= a for e in ends)
+    parts = {"user": user + [(a, b) for a, b, k in strong if k == "access"], "secret": opaque + [(a, b) for a, b, k in strong if k != "access"], "endpoint": endpoint}
+    near = lambda own, kind: any(scope(own[0]) == scope(x[0]) and x[0] <= own[1] + reach and x[1] >= own[0] - reach for x in parts[kind])
+    out = [("user", *x) for x in user if near(x, "secret") and near(x, "endpoint")]
+    out += [("opaque", *x) for x in opaque if near(x, "user") and near(x, "endpoint")]
+    return sorted(out + [("endpoint", *x) for x in endpoint if near(x, "user") and near(x, "secret")])
+
+
+def test_links_like_all_pairs():
+    rng = random.Random(9)
+    pieces = ["user: jane", "client_id=ab-12", "https://h.example", "ftp://x.y", "Zk81jQx9LmPq02RtYw77", "password=zz." + "0a" * 16 + ".zz", "AKIA" + "Z9" * 9, "0a" * 14, "login=AKIA" + "Z9" * 9, "\n\n", "\n \t\n", "é漢 ", "token: abc"]
+    for _ in range(600):
+        text = "".join(rng.choice(pieces) + " " * rng.choice([1, 1, 30]) + rng.choice(["", "x " * rng.randrange(250), "é " * rng.randrange(250)]) for _ in range(rng.randrange(1, 9)))
+        got = [(secrets.KINDS[k], a, b) for a, b, k in secrets.scan_text(text.encode())[1] if k > 2]
+        assert sorted(got) == brute_links(text), text
+
+
 def test_mixing(spark, docs, nothing):
     out = mixing.mix(docs).collect()
     sizes = Counter()
@@ -289,6 +398,28 @@ def test_ann(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_ann_over_lists_and_blocks(spark, monkeypatch):
+    for name, value in (("LIST_ROWS", 300), ("CANDIDATE_BLOCK", 90), ("QUERY_BLOCK", 7), ("FIT_ROWS", 500)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 2400)] * 2 + rng.normal(size=(2400, 16))).astype(np.float64)
+    x[::60] = x[0]  # a hot vector, asked for as well
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    hits = 0
+    for q in range(0, 2400, 20):
+        score = (x * x[q]).sum(1).tolist()
+        best = sorted((-s, i) for i, s in enumerate(score) if i != q)[:20]
+        assert len(got[q]) == 20 and all(s == score[i] and i != q for i, s in got[q])
+        assert sorted(got[q], key=lambda r: (-r[1], r[0])) == got[q]
+        hits += sum(s >= -best[-1][0] for _, s in got[q])
+    assert len(got) == 120 and hits >= 0.9 * 120 * 20
+    same = ann.search(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0)
+    assert {(r["query_id"], r["rank"], r["id"], r["score"]) for r in same.collect()} == {(q, k + 1, i, 5.0) for q in (0, 20, 40) for k, i in enumerate([j for j in range(50) if j != q][:20])}
+
+
 def read(spark, name):
     return spark.read.parquet(f"{SF}/../sf0.01/{name}.parquet")
 
@@ -318,6 +449,53 @@ def test_quality_pools_over_any_batch():
     assert np.allclose(model.probability(flat, at), alone, atol=1e-6)
 
 
+def test_quality_like_plain_convolution():
+    rng = np.random.default_rng(5)
+    model = quality.Model(7)
+    model.bias[0] = 0.3
+    for n in (0, 3, 130, 700):
+        text = rng.integers(32, 122, n).astype(np.uint8)
+        halves = max(2, -(-(n + quality.WIDTH) // quality.HALF))
+        padded = np.full(halves * quality.HALF, quality.PAD)
+        padded[:n] = text
+        logits = []
+        for c in range(halves - 1):  # chunks of whole start positions, each half a chunk after the one before
+            top = np.full(quality.FILTERS, -np.inf)
+            for at in range(c * quality.HALF, (c + 2) * quality.HALF):
+                if at + quality.WIDTH <= len(padded):
+                    top = np.maximum(top, sum(model.filters[j][padded[at + j]] for j in range(quality.WIDTH)))
+            logits.append(np.tanh(top @ model.hidden + model.hidden_bias) @ model.out)
+        want = 1 / (1 + np.exp(-(np.mean(logits) + 0.3)))
+        assert abs(model.probability(text, np.array([0, n]))[0] - want) < 1e-5
+
+
+def test_langid_like_plain_average():
+    texts = [b"the cat and the dog", "der Hund und die Katze \u00fc".encode(), b"le chien et le chat"] * 12
+    model = langid.train(texts, ["en", "de", "fr"] * 12)
+    for text in (*texts[:3], b"", b"a", "12 \u6f22".encode(), b"the Der LE " * 400):
+        folded = bytes(langid.FOLD[b] for b in text)
+        buckets = []
+        for n in langid.ORDERS:
+            for i in range(len(folded) - n + 1):
+                h = 2166136261 ^ n
+                for b in folded[i : i + n]:
+                    h = (h ^ b) * 16777619 % 2**32
+                buckets.append((h ^ (h >> 15)) & (langid.BUCKETS - 1))
+        z = (np.mean([model.table[k].astype(float) for k in buckets], axis=0) if buckets else 0) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best, score = model.predict(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert best[0] == p.argmax() and abs(score[0] - p.max()) < 1e-6
+
+
+def test_langid_hostile_rows(spark):
+    model = langid.fit(read(spark, "documents"))
+    rows = [(1, None), (2, "le chien " * 200_000), (2, "le chien " * 200_000), (3, "the dog and the cat")] * 2
+    df = spark.createDataFrame([(*r, "x", "y", True) for r in rows], "doc_id long, text string, lang_pred string, score string, rejected boolean")
+    got = langid.predict(df, model)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got.collect()) == Counter({(1, "und"): 2, (2, "fr"): 4, (3, "en"): 2})
+
+
 def test_langid_held_out(spark, nothing):
     documents = read(spark, "documents")
     model = langid.fit(documents)

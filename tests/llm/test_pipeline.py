@@ -47,3 +47,20 @@ def test_stages(spark):
     end = steps["byte-level BPE"](spark, mixed, SF)
     assert plain(end) == want
     assert plain(corpus_pipeline.run(spark, SF)) == want
+
+
+def test_hostile_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing extra columns, an empty table."""
+    good = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows = good + [good[0], good[1], (None, good[2][1], None, None, None), (900, None, "en", "src0", 0), (901, "", None, None, None), (902, good[3][1] * 300, "en", "src1", 1)]
+    docs = spark.createDataFrame([(*r, "x", 1, b"y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, key int, fp binary")
+    steps = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        docs = materialize(stage(spark, docs, SF), "hostile")
+        assert docs.columns[-3:] == ["id", "key", "fp"], name
+        assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= before, name
+    assert steps["byte-level BPE"](spark, docs, SF).count() == docs.count() > 0
+    none = spark.createDataFrame([], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
