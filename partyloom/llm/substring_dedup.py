@@ -8,8 +8,11 @@ equal anchors meet, their right contexts form a suffix array with common-prefix
 scan yields its interval tree, and within every interval the left contexts are compared: members
 whose left extensions stay equal long enough form a maximal repeat, diverse extensions end it.
 All members of an interval are reported, not neighbours only.  Bytes are compared, never just
-hashes.  Anchors with more than HOT occurrences take another exact way: each of their strings is
-counted by a 128-bit digest, which spreads and pre-aggregates.
+hashes.  Anchors with more than HOT occurrences, those of passages that many texts share, would put
+one passage into one task and are split: each of their strings goes by its own 128-bit digest,
+counted where it is made before anything is shuffled, and is repeated if the count exceeds one.
+Before that, the bytes left and right of the anchor are counted in steps of STEP bytes, so that
+strings with an end that no other text shares, all at a passage's edges, are not counted at all.
 
 Texts are keyed by two 64-bit hashes, so copies of a text are worked on once: a text that occurs
 twice is repeated as a whole if it has MATCH bytes.  Every task passes a text on once at most.
@@ -34,7 +37,10 @@ from partyloom.llm.common import materialize, ragged, row_chunks, string_views
 MATCH, GRAM = 200, 32
 SPAN = MATCH - GRAM + 1
 PIECE = 1 << 20
-HOT = 20_000
+#: Occurrences from which an anchor is split, anchors split at most (more raise HOT), and the step of partial strings.
+HOT, MOST_BUSY, STEP = 2_000, 4_000_000, 8
+#: Digests that a task may hold (16 bytes each).
+MOST_BROADCAST = 1_000_000
 HOT_SHARE = 1 / 2000
 BASE = 0x9E3779B97F4A7C15
 
@@ -310,17 +316,107 @@ def _repeats(batches):
         yield _resolve(held)
 
 
-def _strings(batches):
-    """Every MATCH-byte string of a context, by digest: the way of hot anchors."""
+def span_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes [start, end) and of the salt."""
+    out = []
+    up, down = _powers(1 << max(16, (len(flat) - 1).bit_length()))
+    for seed in (1, 3):
+        x = (flat.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+        x ^= x >> np.uint64(29)  # bytes as mixed words, so that the two sums differ in more than a factor
+        run = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(x * up[: len(flat)], out=run[1:])
+        h = (run[ends] - run[starts]) * down[starts] + (ends - starts + (salt << 20)).astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out[0], out[1]
+
+
+BUSY = "before int, bytes binary, k1 long, k2 long, place long"
+
+
+def _busy_contexts(batches, busy: np.ndarray):
+    """The bytes that strings of the anchors in busy (sorted) span, a row for each place."""
     for batch in batches:
-        t = pa.Table.from_batches([batch]).to_pylist()
-        rows = []
-        for r in t:
-            for i in range(len(r["bytes"]) - MATCH + 1):
-                d = hashlib.blake2b(r["bytes"][i : i + MATCH], digest_size=16).digest()
-                rows += [(int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), r["k1"], r["k2"], p - r["before"] + i) for p in r["places"]]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d1", "d2", "k1", "k2", "first"])
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        offsets, flat = string_views(batch.column(2))
+        for text, place, first, last, h in text_anchors(flat, offsets):
+            h = h.view(np.int64)
+            at = np.minimum(np.searchsorted(busy, h), len(busy) - 1)
+            keep = np.flatnonzero(busy[at] == h)
+            if not len(keep):
+                continue
+            text, place, first, last = text[keep], place[keep], first[keep], last[keep]
+            base, size = offsets[text], last - first + MATCH
+            data = flat[ragged(base + first, size)].tobytes()
+            cut = np.concatenate([[0], np.cumsum(size)]).tolist()
+            parts = pa.array([data[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((place - first).astype(np.int32)), parts, pa.array(k1[text]), pa.array(k2[text]), pa.array(place.astype(np.int64))], ["before", "bytes", "k1", "k2", "place"])
+
+
+def _context_parts(batch):
+    """(rows, bytes, begin, before, size) of a batch of contexts, in steps of bounded size."""
+    offsets, flat = string_views(batch.column("bytes"))
+    before = batch.column("before").to_numpy().astype(np.int64)
+    for lo, hi in row_chunks(offsets, PIECE):
+        yield np.arange(lo, hi), flat[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], before[lo:hi], np.diff(offsets[lo : hi + 1])
+
+
+def _sides(flat, begin, before, size):
+    """Digests of the anchor with the bytes before it, and after it, in steps: (d1, d2) of either side and how many each context has."""
+    out = []
+    for salt, steps in ((1, before // STEP + 1), (2, (size - before - GRAM) // STEP + 1)):
+        own = np.repeat(np.arange(len(begin)), steps)
+        reach = STEP * ragged(np.zeros(len(steps), np.int64), steps)
+        at = (begin + before)[own]
+        ends = (at - reach, at + GRAM) if salt == 1 else (at, at + GRAM + reach)
+        out.append((*span_digests(flat, *ends, salt), steps))
+    return out
+
+
+def _side_digests(batches):
+    for batch in batches:
+        for _, *part in _context_parts(batch):
+            for d1, d2, _ in _sides(*part):
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2)], ["d1", "d2"])
+
+
+def _strings(batches, shared: np.ndarray | None):
+    """MATCH-byte strings of contexts by digest: the way of hot anchors.  shared: sorted d1 of sides that occur twice; other strings are left out."""
+    for batch in batches:
+        k1, k2, place = (batch.column(k).to_numpy() for k in ("k1", "k2", "place"))
+        for rows, flat, begin, before, size in _context_parts(batch):
+            count = size - MATCH + 1
+            own = np.repeat(np.arange(len(begin)), count)
+            inside = ragged(np.zeros(len(count), np.int64), count)
+            if shared is not None:
+                left, right = before[own] - inside, inside + MATCH - before[own] - GRAM
+                good = np.ones(len(own), bool)
+                for (d1, _, steps), reach in zip(_sides(flat, begin, before, size), (left, right), strict=True):
+                    known = np.isin(d1, shared)
+                    good &= known[(np.cumsum(steps) - steps)[own] + reach // STEP]
+                own, inside = own[good], inside[good]
+            d1, d2 = span_digests(flat, begin[own] + inside, begin[own] + inside + MATCH)
+            first = place[rows[own]] - before[own] + inside
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(k1[rows[own]]), pa.array(k2[rows[own]]), pa.array(first)], ["d1", "d2", "k1", "k2", "first"])
+
+
+def hot_repeats(df: DataFrame, busy: DataFrame) -> DataFrame:
+    """(k1, k2, first, end): repeated strings around the anchors busy (h), MOST_BUSY at most.
+
+    Copies of a text count as what they are: strings that start elsewhere.
+    """
+    context = df.sparkSession.sparkContext
+    known = context.broadcast(np.sort(np.array([r["h"] for r in busy.collect()], np.int64)))
+    found = materialize(df.where(F.octet_length("text") >= MATCH).select("k1", "k2", "text").mapInArrow(lambda x: _busy_contexts(x, known.value), BUSY), "contexts")
+    twice = lambda rows: materialize(rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"), "twice")
+    sides = twice(found.mapInArrow(_side_digests, "d1 long, d2 long"))
+    few = sides.count() <= MOST_BROADCAST
+    shared = context.broadcast(np.sort(np.array([r["d1"] for r in sides.select("d1").collect()], np.int64)) if few else None)
+    strings = found.mapInArrow(lambda x: _strings(x, shared.value), "d1 long, d2 long, k1 long, k2 long, first long")
+    again = twice(strings)
+    met = strings.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, ["d1", "d2"], "left_semi")
+    return met.select("k1", "k2", "first", (F.col("first") + MATCH).alias("end"))
 
 
 def _cut(batches):
@@ -354,19 +450,16 @@ def _cut(batches):
 
 def spans(texts: DataFrame, df: DataFrame, hot: int = HOT) -> DataFrame:
     """(k1, k2, first, end): repeated stretches of distinct texts.  texts: (k1, k2, text) partitioned by k1."""
-    marks = df.select("k1", "k2", "text").where(F.octet_length("text") >= MATCH).mapInArrow(_anchor_keys, "h long, k1 long")
+    marks = materialize(df.select("k1", "k2", "text").where(F.octet_length("text") >= MATCH).mapInArrow(_anchor_keys, "h long, k1 long"), "marks")
+    hot = max(hot, marks.count() // MOST_BUSY)
     counts = marks.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count(F.lit(1)).alias("n"))
-    repeated = counts.where(F.col("lo") != F.col("hi")).select("h", (F.col("n") > hot).alias("hot"))
-    lists = marks.join(repeated.select("h"), "h", "left_semi").groupBy("k1").agg(F.collect_set("h").alias("hashes"))
-    lists = materialize(lists, "lists")
-    busy = materialize(repeated.where("hot").select("h"), "busy")
+    repeated = materialize(counts.where(F.col("lo") != F.col("hi")).select("h", (F.col("n") > hot).alias("hot")), "repeated")
+    lists = materialize(marks.join(repeated.where("not hot").select("h"), "h", "left_semi").groupBy("k1").agg(F.collect_set("h").alias("hashes")), "lists")
+    # the build side holds one row a text: the hashes of its own anchors
     found = texts.join(lists.hint("shuffle_hash"), "k1").select("k1", "k2", "text", "hashes").mapInArrow(_contexts, CONTEXT)
-    parts = []
-    if not busy.isEmpty():  # at most rows / hot of them
-        strings = found.join(F.broadcast(busy), "h", "left_semi").mapInArrow(_strings, "d1 long, d2 long, k1 long, k2 long, first long").distinct()
-        twice = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-        parts.append(strings.join(twice, ["d1", "d2"], "left_semi").select("k1", "k2", "first", (F.col("first") + MATCH).alias("end")))
-        found = found.join(F.broadcast(busy), "h", "left_anti")
+    busy, parts = repeated.where("hot").select("h"), []
+    if not busy.isEmpty():
+        parts.append(hot_repeats(df, busy))
     told = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "anchor long, k1 long, k2 long, first long, end long")
     out = told.select("k1", "k2", "first", "end")
     for p in parts:
