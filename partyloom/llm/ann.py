@@ -3,10 +3,15 @@
 Codebooks of 16 centres for pairs of dimensions are fitted on a bounded sample.  The loss weighs
 the part of the residual parallel to the vector ETA times: errors there change large inner
 products most.  Codes are chosen by coordinate descent over the subspaces, centres by weighted
-least squares.  Equal vectors are indexed once, with their smallest ids (as many as any answer can
-show), so a hot vector is one row.  Query blocks meet candidate blocks; in each meeting the
-four-bit tables, joined in pairs, score every candidate, the best RERANK are scored exactly in
-double precision, and the best k go on to the merge of blocks.
+least squares.  Under the same loss a coarse codebook deals the vectors into lists, about
+LIST_ROWS each.  How many lists a query has to visit is measured on the sample: as many as hold
+PROBED of the sample's own true neighbours; where vectors have no structure that may be all.
+
+Equal vectors are indexed once, with their smallest ids (as many as any answer can show), so a
+hot vector is one row.  A list of any size is cut into blocks of candidates and of queries.  In
+each meeting the four-bit tables, joined in pairs, score every candidate, the best RERANK are
+scored exactly in double precision, and the best k go on; a window keeps each query's best in
+every task before they are shuffled.  Asked ids that share a vector are split by a broadcast.
 
 Rows with a null id or a vector that is null, empty, zero, of another dimension than the table's
 most common one, or with null or non-finite components take no part.  Repeated rows (same id,
@@ -21,15 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partyloom.llm.common import materialize
+from partyloom.llm.common import hash_sample, materialize
 
 K = 20
 SUB, CENTRES = 2, 16
-FIT_ROWS, RERANK = 8192, 128
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors the quantiser is fitted on, the coarse codebook at most, and exact scores in a meeting.
+FIT_ROWS, MOST_FIT_ROWS, RERANK = 8192, 1 << 16, 128
+#: Vectors in a list, lists at most, fitted vectors for each list at least, and what the visited lists must hold.
+LIST_ROWS, MOST_LISTS, ROWS_A_LIST, PROBED = 4096, 4096, 16, 0.97
+CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 4096
+#: Vectors asked by at least this share of the queries are joined by a broadcast: 1/share at most.
+HOT_SHARE = 1 / 2000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,6 +125,55 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 5, seed: int = 0) -
     return q
 
 
+@dataclass
+class Lists:
+    """Coarse centres (lists, d), how many lists a query visits, and the loss's weight."""
+
+    centres: np.ndarray
+    probes: int
+    eta: float
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector, minimising |r|^2 + (eta - 1) (r . x / |x|)^2."""
+        out = np.empty(len(x), np.int32)
+        norm = (self.centres**2).sum(1)
+        for lo in range(0, len(x), 1024):
+            part = x[lo : lo + 1024]
+            size = np.linalg.norm(part, axis=1, keepdims=True)
+            dot = part @ self.centres.T
+            out[lo : lo + 1024] = (norm - 2 * dot + (self.eta - 1) * (size - dot / size) ** 2).argmin(1)
+        return out
+
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """The lists that each query visits: those whose centres have the largest inner products."""
+        score = q @ self.centres.T
+        return np.argsort(-score, axis=1, kind="stable")[:, : self.probes]
+
+
+def fit_lists(x: np.ndarray, lists: int, eta: float, k: int = K, rounds: int = 6, seed: int = 0, share: float = PROBED) -> Lists:
+    """From a bounded sample; the number of visits is measured on up to FIT_ROWS of it with 256 of them as queries."""
+    rng = np.random.default_rng(seed)
+    lists = max(1, min(lists, len(x)))
+    out = Lists(x[rng.choice(len(x), lists, replace=False)].copy(), lists, eta)
+    if lists == 1:
+        return out
+    for _ in range(rounds):
+        at = out.assign(x)
+        for c in np.unique(at):
+            mine = x[at == c]
+            u = _unit(mine)
+            out.centres[c] = np.linalg.solve(len(mine) * np.eye(x.shape[1]) + (eta - 1) * u.T @ u, eta * mine.sum(0))
+    some = x[rng.permutation(len(x))[:FIT_ROWS]]
+    asked = some[:256]
+    score = asked @ some.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(some) - 1)]
+    place = np.argsort(out.near(asked), axis=1)  # rank of each list for each query
+    rank = np.sort(np.take_along_axis(place, out.assign(some)[best], axis=1).ravel())
+    out.probes = int(rank[min(len(rank) - 1, math.ceil(share * len(rank)))]) + 1 if len(rank) else lists
+    return out
+
+
 def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate scores (queries, candidates) from the joined tables."""
     at = (packed.T.astype(np.int32) + 256 * np.arange(packed.shape[1], dtype=np.int32)[:, None])
@@ -125,23 +184,31 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): usable rows, the vector as packed doubles; -0.0 counts as 0.0."""
+    """(id, vec): usable rows, the vector packed in its own width (float or double); -0.0 counts as 0.0."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<double>").alias("v"))
+    rows = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast(f"array<{_width(df, vec_col)}>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
+    kind = np.dtype(KINDS[_width(df, vec_col)])
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            flat = np.asarray(lists.flatten(), np.float64) + 0.0
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) * 8
+            flat = np.asarray(lists.flatten(), kind) + kind.type(0)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) * kind.itemsize
             data = flat.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["id", "vec"])
 
     return rows.mapInArrow(run, "id long, vec binary")
 
 
+KINDS = {"float": "f4", "double": "f8"}
+
+
+def _width(df: DataFrame, vec_col: str) -> str:
+    return "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+
+
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """(vec, ids): each vector once with its `keep` smallest ids; every task collapses its own rows first."""
 
@@ -158,7 +225,7 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, seed: int = 0) -> DataFrame:
     """(query_id, rank, id, score): each query row's k best other rows.  is_query: a condition on column `id`."""
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, KINDS[_width(df, vec_col)]
     rows = materialize(valid(df, id_col, vec_col), "vectors")
     common = rows.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     empty = "query_id long, rank int, id long, score double"
@@ -167,50 +234,73 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col:
     rows = rows.where(F.length("vec") == common["n"])
     each = materialize(distinct_vectors(rows, k + 1), "each")
     n = each.count()
-    asked = materialize(rows.where(is_query).select("id", "vec"), "asked")
+    asked = materialize(rows.where(is_query).select("id", "vec").distinct(), "asked")
     m = asked.count()
-    pick = each.select("vec") if n <= FIT_ROWS else each.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
-    got = sorted(bytes(r["vec"]) for r in pick.collect())
-    quantiser = spark.sparkContext.broadcast(fit(np.stack([np.frombuffer(v) for v in got]), seed=seed) if got else None)
-    c_blocks, q_blocks = math.ceil(n / CANDIDATE_BLOCK), max(1, math.ceil(m / QUERY_BLOCK))
+    queries = materialize(asked.groupBy("vec").agg(F.count(F.lit(1)).alias("times")).withColumn("qn", F.monotonically_increasing_id()), "queries")
+
+    doubles = lambda many: np.stack([np.frombuffer(v, kind) for v in many]).astype(np.float64)
+    lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS)))
+    want = max(FIT_ROWS, min(MOST_FIT_ROWS, ROWS_A_LIST * lists))
+    got = sorted(bytes(r["vec"]) for r in each.select("vec").where(hash_sample(["vec"], 5, want, n)).orderBy(F.xxhash64("vec", F.lit(5)), "vec").limit(want).collect())
+    if not got:  # a sample of few rows can be empty
+        got = [bytes(r["vec"]) for r in each.select("vec").limit(1).collect()]
+    x = doubles(got)[np.random.default_rng(seed).permutation(len(got))]
+    quantiser = fit(x[:FIT_ROWS], seed=seed)
+    held = spark.sparkContext.broadcast((quantiser, fit_lists(x, lists, quantiser.eta, k, seed=seed)))  # bounded codebooks
 
     def code(batches):
+        coder, dealer = held.value
         for batch in batches:
             vecs = batch.column(0).to_pylist()
             if vecs:
-                packed = pack(quantiser.value.encode(np.stack([np.frombuffer(v) for v in vecs])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in packed], pa.binary())], ["vec", "ids", "code"])
+                x = doubles(vecs)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in pack(coder.encode(x))], pa.binary()), pa.array(dealer.assign(x))], ["vec", "ids", "code", "list"])
 
-    index = materialize(each.mapInArrow(code, "vec binary, ids array<bigint>, code binary"), "index")
-    block = lambda count, salt: F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(count)).cast("int")
-    queries = asked.select("vec").distinct().withColumn("qb", block(q_blocks, 2)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    cands = index.withColumn("cb", block(c_blocks, 3)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    schema = "vec binary, id long, score double"
+    def visit(batches):
+        for batch in batches:
+            vecs = batch.column(0).to_pylist()
+            if vecs:
+                near = held.value[1].near(doubles(vecs)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32()))], ["vec", "qn", "lists"])
+
+    index = materialize(each.mapInArrow(code, "vec binary, ids array<bigint>, code binary, list int"), "index")
+    visits = materialize(queries.select("vec", "qn").mapInArrow(visit, "vec binary, qn long, lists array<int>"), "visits")
+    visits = visits.select("vec", "qn", F.explode("lists").alias("list"))
+    # blocks of each list; one row a list, MOST_LISTS at most
+    parts = lambda of, size, name: of.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = F.broadcast(parts(index, CANDIDATE_BLOCK, "cbs").join(parts(visits, QUERY_BLOCK, "qbs"), "list"))
+    block = lambda count, salt: F.pmod(F.xxhash64("vec", F.lit(salt)), count.cast("long")).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    cands = index.join(blocks, "list").withColumn("cb", block(F.col("cbs"), 3)).withColumn("qb", every(F.col("qbs"))).select("list", "cb", "qb", "vec", "ids", "code")
+    posed = visits.join(blocks, "list").withColumn("qb", block(F.col("qbs"), 2)).withColumn("cb", every(F.col("cbs"))).select("list", "cb", "qb", "vec", "qn")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, cs = left.column("vec").to_pylist(), right.column("vec").to_pylist()
         out_q, out_i, out_s = [], [], []
-        if qs and cs:
-            q, x = np.stack([np.frombuffer(v) for v in qs]), np.stack([np.frombuffer(v) for v in cs])
+        if len(left) and len(right):
+            q, x, qn = doubles(left.column("vec").to_pylist()), doubles(right.column("vec").to_pylist()), left.column("qn").to_pylist()
             ids = right.column("ids").to_pylist()
             packed = np.stack([np.frombuffer(v, np.uint8) for v in right.column("code").to_pylist()])
-            tables = quantiser.value.tables(q)
+            keep = min(rerank, len(x))
             for lo in range(0, len(q), 64):
-                rough = scan(tables[lo : lo + 64], packed)
-                keep = min(rerank, len(x))
+                rough = scan(held.value[0].tables(q[lo : lo + 64]), packed)
                 near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
                 for i in range(len(rough)):
                     score = (x[near[i]] * q[lo + i]).sum(axis=1)
-                    best = sorted(((-s, d) for s, j in zip(score.tolist(), near[i].tolist(), strict=True) for d in ids[j]))[: k + 1]
-                    out_q += [qs[lo + i]] * len(best)
+                    best = sorted((-s, d) for s, j in zip(score.tolist(), near[i].tolist(), strict=True) for d in ids[j])[: k + 1]
+                    out_q += [qn[lo + i]] * len(best)
                     out_i += [d for _, d in best]
                     out_s += [-s for s, _ in best]
-        return pa.table([pa.array(out_q, pa.binary()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], ["vec", "id", "score"])
-
-    met = queries.groupBy("cb", "qb").cogroup(cands.groupBy("cb", "qb")).applyInArrow(meet, schema)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))))
-    best = met.groupBy("vec").agg(F.slice(order, 1, k + 1).alias("best"))
-    own = asked.select(F.col("id").alias("query_id"), "vec").distinct().join(best, "vec")
+        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], ["qn", "id", "score"])
+
+    met = posed.groupBy("list", "cb", "qb").cogroup(cands.groupBy("list", "cb", "qb")).applyInArrow(meet, "qn long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score"), "id"))
+    top = met.withColumn("at", place).where(F.col("at") <= k + 1)
+    best = materialize(top.groupBy("qn").agg(F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("best")), "best")  # k + 1 entries a query
+    floor = max(2, int(m * HOT_SHARE))
+    answers = queries.join(best, "qn").select("vec", "times", "best")
+    first = asked.join(F.broadcast(answers.where(F.col("times") >= floor)), "vec", "left")
+    rest = first.where("best is null").select("id", "vec").join(answers.where(F.col("times") < floor).select("vec", "best"), "vec")
+    own = first.where("best is not null").select(F.col("id").alias("query_id"), "best").unionByName(rest.select(F.col("id").alias("query_id"), "best"))
     listed = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
     out = own.select("query_id", F.posexplode(listed).alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))
