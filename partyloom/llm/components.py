@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from partyloom.llm.common import materialize
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over distinct edges (a < b as bigint)."""
+#: Nodes with at least this share of all edges, 2/share of them at most, are joined by a broadcast.
+HOT_SHARE = 1 / 2000
+
+
+def _stars(edges: DataFrame, large: bool, floor: int) -> DataFrame:
+    """One star round over distinct edges (a < b as bigint); nodes of `floor` edges or more are hubs and split by broadcast."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    met = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    first = both.join(F.broadcast(least.where(F.col("n") >= floor).select("a", "m")), "a", "left")
+    rest = first.where("m is null").drop("m").join(least.where(F.col("n") < floor).select("a", "m"), "a")
+    met = first.where("m is not null").unionByName(rest)
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
     else:
@@ -28,10 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
-    sign = None
-    while True:
-        e = materialize(_stars(_stars(e, True), False), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    sign_of = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    sign = sign_of(e)
+    while sign[0]:
+        floor = max(1000, int(sign[0] * HOT_SHARE))
+        large = materialize(_stars(e, True, floor), "stars")
+        e = materialize(_stars(large, False, floor), "stars")
+        now = sign_of(e)
         if now == sign:
             break
         sign = now
