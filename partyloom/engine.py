@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,12 +14,19 @@ from partyloom.plans import below_the_line, screening
 from partyloom.plans import snapshot as snap
 
 
+#: Ids that may be asked for.
+ID = re.compile(r"[A-Za-z0-9_:.-]+")
+#: Results of single queries that are kept, oldest out first.
+MOST_KEPT = 200
+
+
 class Engine:
     """Answers over one immutable snapshot; derived tables are built once, on first use."""
 
     def __init__(self, parties: DataFrame, lexicon: Lexicon = EMPTY, expected: tuple[str, ...] = ()):
         self.parties, self.lexicon, self.expected = parties, lexicon, expected
         self.spark = parties.sparkSession
+        self._kept: dict[tuple, list] = {}
 
     @cached_property
     def total(self) -> int:
@@ -76,14 +84,40 @@ class Engine:
             asked = self.spark.createDataFrame([row], "qid int, q string")
         return screening.rank(self.screen(asked, level, *clean))
 
+    def results(self, q: str, **how) -> DataFrame:
+        """search() with each hit's record, ownership lead, group and other listings."""
+        hits = self.search(q, **how)
+        return present.enriched(hits, self.parties, self.profiles, self.groups, self.crossed)
+
+    def kept_results(self, q: str, **how) -> list:
+        """Rows of search(), 200 at most, kept for equal questions to this snapshot (Q8)."""
+        key = (screening.clean_param(q, screening.MOST_QUERY), *sorted(how.items()))
+        if key not in self._kept:
+            while len(self._kept) >= MOST_KEPT:
+                self._kept.pop(next(iter(self._kept)))
+            self._kept[key] = self.search(q, **how).orderBy("rank").collect()
+        return self._kept[key]
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return ownership.profile(self.parties, self.clusters).persist()
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return ownership.groups(self.parties, self.clusters).persist()
+
+    @cached_property
+    def crossed(self) -> DataFrame:
+        return crosslist.cross_listing(self.parties, self.clusters).persist()
+
     def entity(self, party_id: str) -> DataFrame:
-        return self.parties.where(F.col("id") == party_id)
+        return self.parties.where(F.col("id") == checked_id(party_id))
 
     def ownership(self, party_id: str) -> DataFrame:
-        return ownership.profile(self.parties, self.clusters).where(F.col("id") == party_id)
+        return ownership.profile(self.parties, self.clusters, only=checked_id(party_id))
 
     def cross_listing(self, party_id: str) -> DataFrame:
-        return crosslist.cross_listing(self.parties, self.clusters).where(F.col("id") == party_id)
+        return self.crossed.where(F.col("id") == checked_id(party_id))
 
     def changes(self, previous: DataFrame) -> DataFrame:
         return snap.delta(previous, self.parties)
@@ -101,17 +135,34 @@ class Engine:
         }
 
     def ego_network(self, party_id: str, depth: int = 2) -> dict[str, DataFrame]:
-        near = graph.ego_nodes(self.edges, party_id, max(1, min(3, int(depth))))
+        near = graph.ego_nodes(self.edges, checked_id(party_id), max(1, min(3, int(depth))))
         links = graph.induced_edges(self.edges, near)
         return {"nodes": near, "edges": links, "metrics": graph.ego_metrics(near, links), "levels": graph.assign_levels(links, party_id)}
 
     def publish(self, root: str, version: str, previous: DataFrame | None = None) -> int:
-        """Writes the snapshot unless its quality regressed; returns the status of the decision."""
+        """Writes the snapshot, its profile and what changed, unless its quality regressed; returns the status of the decision.
+
+        The pointer to the version is written with the snapshot, after profile and delta.
+        """
+        own = quality.profile(self.parties)
         before = quality.profile(previous) if previous is not None else None
         before_derived = quality.derived(previous) if previous is not None else None
-        found = quality.compare(quality.profile(self.parties), before, quality.derived(self.parties), before_derived)
+        found = quality.compare(own, before, quality.derived(self.parties), before_derived)
         covered = True if previous is None else snap.coverage(list(self.expected), previous, self.parties).first()["publishable"]
         status = quality.decision(found, covered)
         if status != quality.REFUSED:
+            snap.write_aside(own, root, "quality", version)
+            if previous is not None:
+                snap.write_aside(snap.delta(previous, self.parties), root, "changes", version)
             snap.write_snapshot(self.parties, root, version)
         return status
+
+    def published_changes(self, root: str, version: str) -> DataFrame | None:
+        """The delta published with a version; None if none was."""
+        return snap.read_aside(self.spark, root, "changes", version)
+
+
+def checked_id(party_id: str) -> str:
+    if not ID.fullmatch(str(party_id)):
+        raise ValueError("invalid id")
+    return str(party_id)

@@ -11,7 +11,9 @@ from partyloom.operators.shared import pinned
 
 CONTROL = r"(?i)control|acting for|on behalf of|leader|official of|director|manag"
 MOST_DEPTH = 6
-CAVEAT = "No chain to a blocked person in the published relationships; this is not a clearance."
+# Notes on a profile, by whether a blocked owner was found.
+REACHES = "A chain of owners reaches a blocked person. Lists state no percentages: confirm the stakes, added up over all blocked owners, before treating this party as blocked."
+NO_CHAIN = "No chain to a blocked person in the published relationships; this is not a clearance, because owners that nobody lists don't appear."
 
 
 def is_blocking(lists: Column, listed: Column, measures: Column) -> Column:
@@ -50,10 +52,15 @@ def blocking_nodes(parties: DataFrame, nodes: DataFrame) -> DataFrame:
     return parties.where(is_blocking(F.col("lists"), F.col("list"), F.col("sanctionsTypes"))).join(nodes, "id").select("node").distinct()
 
 
-def chains(owners: DataFrame, blocked: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(id, owner, hops, path): blocked owners above each party, by the shortest and then smallest path."""
+def chains(owners: DataFrame, blocked: DataFrame, depth: int = MOST_DEPTH, start: DataFrame | None = None) -> DataFrame:
+    """(id, owner, hops, path): blocked owners above each party, by the shortest and then smallest path.
+
+    start: (node) to walk from; all parties without it.
+    """
     step = owners.select(F.col("owned").alias("at"), F.col("owner").alias("up"))
     reach = owners.select(F.col("owned").alias("id"), F.col("owner"), F.lit(1).alias("hops"), F.array("owned", "owner").alias("path"))
+    if start is not None:
+        reach = reach.join(start.select(F.col("node").alias("id")), "id", "left_semi")
     reach = pinned(reach, "chain")
     for hop in range(2, depth + 1):
         last = reach.where(F.col("hops") == hop - 1)
@@ -67,30 +74,59 @@ def chains(owners: DataFrame, blocked: DataFrame, depth: int = MOST_DEPTH) -> Da
     return reach.join(blocked.select(F.col("node").alias("owner")), "owner", "left_semi")
 
 
-def profile(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """One row for each party node with any ownership or control link."""
-    nodes = pinned(canonical(parties, members), "nodes")
+def node_profiles(parties: DataFrame, nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(node, ...): one row for each party node with any ownership or control link."""
     owners = pinned(owner_links(parties, nodes), "owners")
-    found = pinned(chains(owners, blocking_nodes(parties, nodes)), "chains")
-    above = found.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("hops", "owner", "path"))).alias("blocked_owners"),
+    blocked = pinned(blocking_nodes(parties, nodes), "blocked")
+    stated = edges(parties).where("dst_name <> ''").groupBy("dst").agg(F.min("dst_name").alias("said"))
+    listed = parties.select("id", "name", F.lit(True).alias("listed"))
+    names = listed.join(stated, listed["id"] == stated["dst"], "full").select(F.coalesce("id", "dst").alias("other"), F.coalesce("name", "said").alias("name"), F.coalesce("listed", F.lit(False)).alias("in_snapshot"))
+    names = pinned(names, "names")
+
+    def told(rows: DataFrame) -> DataFrame:
+        """rows (node, other, ...) with the other's name, whether it is in the snapshot and whether it is blocked."""
+        flag = blocked.select(F.col("node").alias("other"), F.lit(True).alias("b"))
+        met = rows.join(names, "other", "left").join(flag, "other", "left")
+        return met.withColumns({"name": F.coalesce("name", F.concat(F.lit("Entity "), "other")), "in_snapshot": F.coalesce("in_snapshot", F.lit(False)), "blocked": F.coalesce("b", F.lit(False))})
+
+    of = lambda a, b: owners.select(F.col(a).alias("node"), F.col(b).alias("other"))
+    own = lambda df: df if start is None else df.join(start, "node", "left_semi")
+    found = chains(owners, blocked, start=start).select(F.col("id").alias("node"), F.col("owner").alias("other"), "hops", "path")
+    above = told(found).groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("hops", F.col("other").alias("owner"), "path", "name"))).alias("blocked_owners"),
         F.count_if(F.col("hops") == 1).alias("direct"),
         F.count_if(F.col("hops") > 1).alias("indirect"),
-        F.count(F.lit(1)).alias("n"),
     )
-    below = owners.groupBy(F.col("owner").alias("id")).agg(F.array_sort(F.collect_set("owned")).alias("subsidiaries"))
-    control = control_links(parties, nodes).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("controls"))
-    out = above.join(below, "id", "full").join(control, "id", "full")
-    none = F.array().cast("array<string>")
+    below = told(own(of("owner", "owned"))).groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.col("other").alias("id"), "name", "in_snapshot", F.col("blocked").alias("listed")))).alias("subsidiaries"))
+    links = control_links(parties, nodes).select(F.col("id").alias("node"), "other").distinct()
+    control = told(own(links)).groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.col("other").alias("id"), "name", "blocked"))).alias("controls"))
+    marked = own(blocked).withColumn("self_blocked", F.lit(True))
+    return above.join(below, "node", "full").join(control, "node", "full").join(marked, "node", "full")
+
+
+def profile(parties: DataFrame, members: DataFrame | None = None, only: str | None = None) -> DataFrame:
+    """One row for every listing, answered for the party it belongs to.
+
+    only: the id of one listing; the walk then starts from its party alone.
+    """
+    nodes = pinned(canonical(parties, members), "nodes")
+    asked = nodes if only is None else nodes.where(F.col("id") == only)
+    found = node_profiles(parties, nodes, None if only is None else pinned(asked.select("node").distinct(), "start"))
+    out = asked.join(found, "node", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    chained = F.coalesce("blocked_owners", none("struct<hops:int,owner:string,path:array<string>,name:string>"))
     return out.select(
         "id",
-        F.coalesce("blocked_owners", F.array().cast("array<struct<hops:int,owner:string,path:array<string>>>")).alias("blocked_owners"),
+        "node",
+        F.coalesce("self_blocked", F.lit(False)).alias("self_blocked"),
+        chained.alias("blocked_owners"),
         F.coalesce("direct", F.lit(0)).alias("direct"),
         F.coalesce("indirect", F.lit(0)).alias("indirect"),
-        (F.coalesce("n", F.lit(0)) > 1).alias("aggregation_candidate"),
-        F.coalesce("subsidiaries", none).alias("subsidiaries"),
-        F.coalesce("controls", none).alias("controls"),
-        F.lit(CAVEAT).alias("caveat"),
+        (F.size(chained) > 1).alias("aggregation_candidate"),
+        F.coalesce("subsidiaries", none("struct<id:string,name:string,in_snapshot:boolean,listed:boolean>")).alias("subsidiaries"),
+        F.coalesce("controls", none("struct<id:string,name:string,blocked:boolean>")).alias("controls"),
+        F.lit(False).alias("percentages_available"),
+        F.when(F.size(chained) > 0, REACHES).otherwise(NO_CHAIN).alias("note"),
     )
 
 
@@ -113,7 +149,6 @@ def groups(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
 
 def overview(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One row: parties with a blocked owner above, only over several hops, and with several owners."""
-    p = profile(parties, members)
-    return p.agg(
-        F.count_if(F.size("blocked_owners") > 0).alias("with_blocked_owner"), F.count_if((F.col("direct") == 0) & (F.col("indirect") > 0)).alias("multi_hop_only"), F.count_if("aggregation_candidate").alias("several_owners")
-    )
+    p = node_profiles(parties, pinned(canonical(parties, members), "nodes"))
+    owners = F.col("direct") + F.col("indirect")
+    return p.agg(F.count_if(owners > 0).alias("with_blocked_owner"), F.count_if((F.col("direct") == 0) & (F.col("indirect") > 0)).alias("multi_hop_only"), F.count_if(owners > 1).alias("several_owners"))

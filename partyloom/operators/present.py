@@ -9,15 +9,15 @@ from partyloom.functions.vocab import GROUP_ORDER, attribute_kind
 
 LEGAL_PREFIX = r"(?i)^(public |open |closed )?(joint[- ]stock company|limited liability company|jsc|pjsc|ojsc|llc|ooo|oao|pao)\s+"
 LEGAL_SUFFIX = r"(?i)[, ]+(jsc|pjsc|ojsc|llc|ltd|limited|inc|corp|corporation|company|co|gmbh|ag|sa|plc|bv)\.?$"
-# Guidance by list, tried in order.
+# Guidance by list, tried in order, letters in either case.
 GUIDANCE = (
-    ("BIS Entity List", "Export licence required"),
-    ("BIS Denied Persons List", "Export privileges denied"),
-    ("BIS Unverified List", "Extra due diligence before export"),
-    ("BIS Military End-User List", "Military end-user licence required"),
-    ("ITAR Debarred List", "Debarred from defence trade"),
-    ("Nonproliferation Sanctions", "Nonproliferation restrictions"),
+    ("denied persons", "Export privileges denied"),
+    ("unverified", "Extra due diligence before export"),
+    ("military end-user", "Military end-user licence required"),
+    ("itar debarred", "Debarred from defence trade"),
+    ("nonproliferation", "Nonproliferation restrictions"),
 )
+EXPORT = "Export licence required"
 NARROW = (
     ("CMIC", "Securities restriction"),
     ("CAPTA", "Correspondent account restriction"),
@@ -29,15 +29,21 @@ NARROW = (
 
 
 def determination(authority: Column, lists: Column, blocking: Column) -> Column:
-    """What a listing asks of the reader; blocking dominates narrower lists."""
-    out = F.when(F.lit(False), "")
-    for name, word in GUIDANCE:
-        out = out.when(authority.isin("BIS", "State") & F.array_contains(lists, name), word)
+    """What a listing asks of the reader.
+
+    Export-control authorities never lead to blocking, whatever their lists are called; blocking
+    dominates narrower lists.
+    """
+    names = F.lower(F.array_join(lists, "\n"))
+    export = F.lit(EXPORT)
+    for part, word in reversed(GUIDANCE):
+        export = F.when(F.contains(names, F.lit(part)), word).otherwise(export)
+    out = F.when(authority.isin("BIS", "State"), export)
     for a in ("EU", "UN", "UK"):
         out = out.when(authority == a, f"{a} asset freeze")
     out = out.when(blocking, "Block")
     for part, word in NARROW:
-        out = out.when(F.contains(F.array_join(lists, "\n"), F.lit(part)), word)
+        out = out.when(F.contains(names, F.lit(part.lower())), word)
     return out.otherwise("Potential block: review")
 
 
@@ -125,14 +131,48 @@ def result_rows(hits: DataFrame, parties: DataFrame) -> DataFrame:
     return hits.join(p, "party_id").select("party_id", "name", "type", "authority", "list", "lists", "programs", "measures", "datePublished", "score", "match_type", "matched_name", "matched_field", "explain", "remarks")
 
 
+def enriched(hits: DataFrame, parties: DataFrame, profiles: DataFrame, groups: DataFrame, crossed: DataFrame) -> DataFrame:
+    """Hits with the party's record, a summary of its ownership, its group and its other listings.
+
+    What has nothing to report is null.  profiles, groups, crossed: as ownership.profile,
+    ownership.groups and crosslist.cross_listing make them, keyed by listing.
+    """
+    record = parties.select(F.col("id").alias("party_id"), *[c for c in parties.columns if c != "id"])
+    quiet = (F.size("blocked_owners") == 0) & (F.size("subsidiaries") == 0) & (F.size("controls") == 0)
+    lead = F.struct("self_blocked", "blocked_owners", "direct", "indirect", "aggregation_candidate", F.size("subsidiaries").alias("subsidiaries"), F.size("controls").alias("controls"), "note")
+    own = profiles.select(F.col("id").alias("party_id"), F.when(~quiet, lead).alias("derivative"))
+    group = groups.select(F.col("id").alias("party_id"), F.struct("group_id", "size", "label").alias("cluster"))
+    other = crossed.where(F.size("also_listed_by") > 0).select(F.col("id").alias("party_id"), F.struct("also_listed_by", "others", "confidence").alias("cross_listed"))
+    out = hits.join(record, "party_id", "left")
+    for df in (own, group, other):
+        out = out.join(df, "party_id", "left")
+    return out
+
+
 def provenance(retrieved_at: str, publication: str, threshold: float) -> list[tuple[str, str]]:
     """Trailer rows that say what a result was made from."""
     return [("Retrieved", retrieved_at), ("Publication", publication), ("Threshold", f"{threshold:.2f}")]
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """All values quoted, a header in every part (K3-K5)."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def csv_lines(df: DataFrame, columns: list[str], order: list, trailer: list[tuple] = ()) -> DataFrame:
+    """(line): a header, the rows in a total order and trailer rows, every value quoted (K3-K5).
+
+    For exports of one record or one result set, which are bounded; they come as one file.
+    """
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    spark = df.sparkSession
+    line = F.concat_ws(",", *[quote(F.col(c)) for c in columns]).alias("line")
+    body = df.withColumn("__n", F.row_number().over(Window.orderBy(*order))).select(F.lit(1).alias("part"), "__n", line)
+    fixed = [(0, 0, list(columns)), *[(2, i, list(map(str, t))) for i, t in enumerate(trailer)]]
+    more = spark.createDataFrame(fixed, "part int, __n int, v array<string>").select("part", "__n", F.concat_ws(",", F.transform("v", quote)).alias("line"))
+    mark = F.when(F.col("part") == 0, "\ufeff").otherwise("")  # spreadsheets read the file as UTF-8
+    return body.unionByName(more).orderBy("part", "__n").select(F.concat(mark, F.col("line")).alias("line"))
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, order: list | None = None, trailer: list[tuple] = ()) -> None:
+    """csv_lines as one file with a byte-order mark and CRLF line ends."""
+    columns = columns or df.columns
+    csv_lines(df, columns, order or columns, trailer).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

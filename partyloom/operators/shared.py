@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def pinned(df: DataFrame, tag: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark) -> str:
+    """The folder that the cluster shares.  Where it is unset a local session gets one of its own; a cluster is refused."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="partyloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/partyloom/{tag}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def pinned(df: DataFrame, tag: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/partyloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

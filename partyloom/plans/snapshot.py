@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partyloom.functions import countries
@@ -96,7 +97,14 @@ class Source:
     label: str
     authorities: tuple[str, ...]
     read: Callable[[], DataFrame]
-    least: int = 0
+    least: int | None = None
+
+    @property
+    def floor(self) -> int:
+        """The fewest rows; the known minimum of its label or authorities where none is given."""
+        if self.least is not None:
+            return self.least
+        return max([LEAST_ROWS.get(k, 0) for k in (self.label, *self.authorities)])
 
 
 @dataclass
@@ -112,8 +120,8 @@ def assemble(sources: list[Source], previous: DataFrame | None = None) -> Assemb
         try:
             df = conform(s.read())
             count = df.count()
-            if count < s.least:
-                raise ValueError(f"{s.label}: {count} rows, at least {s.least} expected")
+            if count < s.floor:
+                raise ValueError(f"{s.label}: {count} rows, at least {s.floor} expected")
             parts.append(df)
             log.append({"label": s.label, "authorities": list(s.authorities), "ok": True, "count": count, "error": "", "carriedForward": False})
         except Exception as e:  # noqa: BLE001  one source never takes the others down
@@ -166,8 +174,47 @@ def publications(history: DataFrame, year: Column, keep: int = 12) -> DataFrame:
     return rows.orderBy(F.desc("publication_id")).limit(keep)
 
 
+#: Rows of a snapshot's file.
+FILE_ROWS = 1_000_000
+
+
 def write_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """A versioned Parquet folder by authority, so an authority filter prunes files (K1)."""
+    """A versioned Parquet folder by authority, so an authority filter prunes files (K1).
+
+    Large authorities are dealt over many tasks.  A version is never overwritten; a pointer row,
+    added once all files are there, makes it the current one.
+    """
     path = f"{root}/version={version}"
-    df.repartition("authority").write.mode("overwrite").partitionBy("authority").parquet(path)
+    parts = max(1, -(-df.count() // FILE_ROWS))
+    df.repartition("authority", F.pmod(F.xxhash64("id"), F.lit(parts))).write.partitionBy("authority").parquet(path)
+    pointer = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/_pointer")
     return path
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def current(spark: SparkSession, root: str) -> tuple[str, DataFrame, float] | None:
+    """(version, parties, age in milliseconds) of the newest published snapshot, or None."""
+    pointer = _read(spark, f"{root}/_pointer")
+    row = None if pointer is None else pointer.orderBy(F.desc("published_at"), F.desc("version")).withColumn("age", F.unix_millis(F.current_timestamp()) - F.unix_millis("published_at")).first()
+    if row is None:
+        return None
+    return row["version"], conform(spark.read.parquet(f"{root}/version={row['version']}")), float(row["age"])
+
+
+def write_aside(df: DataFrame, root: str, kind: str, version: str) -> None:
+    """A profile or a delta beside its snapshot, also when it is empty (K2)."""
+    df.write.mode("overwrite").parquet(f"{root}/_{kind}/version={version}")
+
+
+def read_aside(spark: SparkSession, root: str, kind: str, version: str) -> DataFrame | None:
+    """None where none was written: an absence, not a quiet day."""
+    return _read(spark, f"{root}/_{kind}/version={version}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,29 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return conform(rows)
 
 
+def read_cache(spark: SparkSession, folder: str) -> tuple[DataFrame, float] | None:
+    """(parties, age in milliseconds) of snapshot.json, else of snapshot.json.gz, else None.
+
+    Records are finalised anew; a snapshot without records counts as none, one without a
+    retrieval time as infinitely old.
+    """
+    from partyloom.plans.snapshot import finalize
+
+    for name in ("snapshot.json", "snapshot.json.gz"):
+        try:
+            meta = spark.read.schema("meta struct<retrievedAt:string>").option("multiLine", True).json(f"{folder}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                continue
+            raise
+        parties = read_document(spark, f"{folder}/{name}")
+        if parties.isEmpty():
+            return None
+        age = meta.select((F.unix_millis(F.current_timestamp()) - F.unix_millis(F.try_to_timestamp("meta.retrievedAt"))).alias("age")).first()["age"]
+        return finalize(parties), float("inf") if age is None else float(age)
+    return None
+
+
 def _plain_name(a):
     return F.struct(a.alias("name"), F.lit("A.K.A.").alias("type"), F.lit(False).alias("primary"), F.lit(False).alias("lowQuality"), F.lit("Latin").alias("script"), F.lit("").alias("native"), F.array().cast("array<string>").alias("parts"))
 

@@ -150,8 +150,14 @@ def test_ownership(engine):
     rows = {r["id"]: r for r in ownership.profile(engine.parties, engine.clusters).collect()}
     assert [(x["owner"], x["hops"]) for x in rows["2"]["blocked_owners"]] == [("1", 1)]
     assert [(x["owner"], x["hops"], x["path"]) for x in rows["7"]["blocked_owners"]] == [("2", 1, ["7", "2"]), ("1", 2, ["7", "2", "1"])]
-    assert rows["7"]["aggregation_candidate"] and rows["1"]["subsidiaries"] == ["2"] and rows["8"]["controls"] == ["1"]
-    assert "6" not in rows or rows["6"]["blocked_owners"] == []
+    assert rows["7"]["aggregation_candidate"] and [x["id"] for x in rows["1"]["subsidiaries"]] == ["2"] and [tuple(x) for x in rows["8"]["controls"]] == [("1", "Viktor Petrov Sokolin", True)]
+    assert rows["6"]["blocked_owners"] == [] and rows["6"]["note"] == ownership.NO_CHAIN and not rows["6"]["self_blocked"]
+    assert all((r["note"] == ownership.REACHES) == bool(r["blocked_owners"]) for r in rows.values()) and set(rows) == {r["id"] for r in engine.parties.select("id").collect()}
+    for listing, twin in (("EU-2", "2"), ("EU-1", "1")):  # a listing is answered for its party
+        one = engine.ownership(listing).first()
+        assert (one["id"], one["blocked_owners"], one["subsidiaries"], one["self_blocked"]) == (listing, rows[twin]["blocked_owners"], rows[twin]["subsidiaries"], True)
+    with pytest.raises(ValueError):
+        engine.ownership("1; drop")
     groups = {r["id"]: (r["group_id"], r["size"], r["label"]) for r in ownership.groups(engine.parties, engine.clusters).collect()}
     assert groups["1"] == groups["EU-1"] == groups["7"] and groups["1"][1] == 3
     over = ownership.overview(engine.parties, engine.clusters).first()
@@ -203,12 +209,51 @@ def test_views(spark, engine):
 def test_publish(engine, tmp_path):
     assert engine.publish(str(tmp_path), "1") in (quality.PUBLISHED, quality.PUBLISHED_WITH_ALARM)
     back = engine.spark.read.parquet(f"{tmp_path}/version=1")
+    assert engine.published_changes(str(tmp_path), "1") is None and snap.current(engine.spark, f"{tmp_path}/none") is None
+    before = engine.parties.where("id <> '3'")
+    assert engine.publish(str(tmp_path), "2", before) != quality.REFUSED
+    assert [(r["change"], r["id"]) for r in engine.published_changes(str(tmp_path), "2").collect()] == [("added", "3")]
+    version, found, age = snap.current(engine.spark, str(tmp_path))
+    assert version == "2" and found.count() == len(ROWS) and age >= 0
+    assert snap.read_aside(engine.spark, str(tmp_path), "quality", "2").count() == engine.parties.select("authority").distinct().count()
     assert back.count() == len(ROWS) and engine.health()["parties"] == len(ROWS)
     present.write_csv(present.record_rows(engine.parties), f"{tmp_path}/csv")
+    text = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*"))
+    assert text.startswith("\ufeff\"id\",\"at\"".encode()) and text.count(b"\r\n") == present.record_rows(engine.parties).count() + 1
+    present.write_csv(present.record_rows(engine.entity("1")), f"{tmp_path}/trailer", trailer=present.provenance("now", "7", 0.95))
+    assert b'"Threshold","0.95"\r\n' in b"".join(p.read_bytes() for p in (tmp_path / "trailer").glob("part-*"))
     present.write_json(engine.parties, f"{tmp_path}/json")
     assert engine.spark.read.json(f"{tmp_path}/json").count() == len(ROWS)
 
 
+def test_results_are_enriched(engine):
+    rows = {r["party_id"]: r for r in engine.results("Sokolin Shipping").collect()}
+    assert rows["2"]["cross_listed"]["also_listed_by"] == ["EU"] and rows["2"]["cluster"]["size"] == 3
+    assert rows["2"]["derivative"]["direct"] == 1 and rows["EU-2"]["derivative"] == rows["2"]["derivative"] and rows["2"]["lists"] == ["SDN List"]
+    assert [r["party_id"] for r in engine.kept_results("Sokolin Shipping")] == [r["party_id"] for r in engine.search("Sokolin Shipping").orderBy("rank").collect()]
+    assert engine.kept_results("Sokolin Shipping") is engine.kept_results(" Sokolin Shipping")
+
+
+def test_export_control_never_blocks(spark):
+    word = lambda a, *lists: spark.range(1).select(present.determination(F.lit(a), F.array(*map(F.lit, lists)), F.lit(True))).first()[0]
+    assert word("BIS", "Entity List (EL) - Bureau of Industry and Security") == "Export licence required"
+    assert word("BIS", "Denied Persons List (DPL)") == "Export privileges denied" and word("State", "ITAR Debarred (DTC)") == "Debarred from defence trade"
+    assert word("BIS", "MILITARY END-USER (MEU) List") == "Military end-user licence required" and word("OFAC", "SDN List", "CMIC") == "Block"
+
+
+def test_known_minimum_of_a_source(parties):
+    done = snap.assemble([snap.Source("EU", ("EU",), lambda: parties.where("authority = 'EU'")), snap.Source("x", ("ZZ",), lambda: parties.limit(1))], parties)
+    assert [(r["ok"], r["carriedForward"]) for r in done.log] == [(False, True), (True, False)] and "at least 1000" in done.log[0]["error"]
+
+
+def test_scan_in_blocks_of_queries(spark, parties, monkeypatch):
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(("Sokolin Shiping", "Delta Frieght", "Redstone Holdings", "MV Northern Gull", "Orion Metals"))], "qid int, q string")
+    rows = lambda: sorted(map(tuple, screening.screen(asked, parties, 0.8, exhaustive=True).collect()))
+    whole = rows()
+    monkeypatch.setattr(screening, "MOST_BROADCAST", 2)
+    assert rows() == whole and whole
+
+
 def test_fetch_retries():
     calls, waits = [], []
 
