@@ -110,22 +110,11 @@ def a10_distinct_carriers(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type")).agg(F.count_distinct("user_id").alias("carriers"))
 
 
-@query(
-    "WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: upper(x))) AS token FROM documents WHERE lang = 'en')"
-    " SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents WHERE lang = 'en') + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY token"
-)
-def a11_m8_token_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("token")).select("doc_id", F.upper("token").alias("token")).distinct()
-    n = docs.count()
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1, 6))
-
-
 @query(
     "WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: upper(x))) AS token FROM documents)"
     " SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY token"
 )
-def a11_m8_token_idf_all(spark, sf_dir):
+def a11_m8_token_idf(spark, sf_dir):
     """Documents of every language and of none.  Tokens of a text are told apart in its row; only repeated ids need a shuffle."""
     docs = table(spark, sf_dir, "documents")
     own = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.upper))
@@ -245,21 +234,6 @@ def j8_j9_capped_self_join(spark, sf_dir):
     return kept.alias("a").join(kept.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-SPANS = "SELECT o_custkey, min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1"
-
-
-@query(
-    f"WITH y AS (SELECT c_nationkey, c_custkey, lo, hi FROM ({SPANS}) JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')"
-    " SELECT a.c_custkey AS a, b.c_custkey AS b FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.lo <= b.hi AND b.lo <= a.hi"
-)
-def j10_interval_overlap(spark, sf_dir):
-    spans = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_nationkey", "c_custkey")
-    y = spans.join(c, spans["o_custkey"] == c["c_custkey"]).select("c_nationkey", "c_custkey", "lo", "hi")
-    met = y.alias("a").join(y.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")))
-    return met.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
-
-
 @query(
     "WITH s AS (SELECT o_custkey, min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders GROUP BY 1), y AS (SELECT c_nationkey, c_custkey, lo, hi FROM s JOIN customer ON c_custkey = o_custkey)"
     " SELECT a.c_custkey AS c_custkey, count(*) - 1 AS overlaps FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1"
@@ -298,7 +272,8 @@ def m1_m9_kernels(spark, sf_dir):
 def m15_batch_screening(spark, sf_dir):
     """Misspelt supplier and part names against all listings."""
     parties = party_view(spark, sf_dir)
-    asked = table(spark, sf_dir, "part").select("p_name").distinct().select(F.xxhash64("p_name").alias("qid"), F.regexp_replace("p_name", "e", "ee").alias("q"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).union(table(spark, sf_dir, "supplier").select("s_name")).distinct()
+    asked = names.select(F.xxhash64("n").alias("qid"), F.regexp_replace("n", "e", "ee").alias("q"))
     return screening.rank(screening.screen(asked, parties, 0.95))
 
 
@@ -398,3 +373,6 @@ def l8_page(spark, sf_dir):
 @query("WITH h AS (SELECT l_orderkey, l_suppkey, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS n FROM lineitem) SELECT l_orderkey, l_suppkey, max(n) AS group_hits FROM h GROUP BY 1, 2")
 def a22_group_hits(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("group_hits"))
+
+
+from partyloom import record_queries  # noqa: E402, F401  adds its queries to the registry above
