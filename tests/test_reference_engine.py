@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import random
 import urllib.error
 
 import pytest
@@ -267,3 +268,27 @@ def test_fetch_retries():
     assert fetch("http://x", opener=opener, sleep=waits.append) == b"ok" and len(calls) == 3 and len(waits) == 2
     with pytest.raises(urllib.error.HTTPError):
         fetch("http://x", opener=lambda u, timeout: (_ for _ in ()).throw(urllib.error.HTTPError(u, 404, "no", {}, None)), sleep=waits.append)
+
+
+def test_gram_lane_counts_whole_sets(spark):
+    """The rarest grams alone find every party that shares a quarter of a query's grams."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ABCD") for _ in range(r.randint(1, 7)))
+    asked = [(i, [word() for _ in range(r.randint(1, 3))]) for i in range(60)] + [(60, []), (61, ["AB"])]
+    held = [(f"p{i % 90}", [word() for _ in range(r.randint(1, 3))]) for i in range(120)] + [("common", ["ABCDABCD"])] * 3
+    q = spark.createDataFrame(asked, "qid long, q_tokens array<string>")
+    names = spark.createDataFrame(held, "party_id string, tokens array<string>")
+    sets = lambda df, key, col: df.select(key, screening.gram_set(F.col(col)).alias("g")).collect()
+    of = {}
+    for party, g in sets(names, "party_id", "tokens"):
+        of.setdefault(party, set()).update(g)
+    wanted = sorted((i, p) for i, g in sets(q, "qid", "q_tokens") for p, h in of.items() if len(h & set(g)) >= max(1, len(g) // 4))
+    assert wanted and sorted(map(tuple, screening.gram_lane(q, names).collect())) == wanted
+    assert sorted(map(tuple, screening.gram_lane(q.union(q), names).collect())) == wanted
+    assert screening.gram_lane(q, names.limit(0)).isEmpty() and screening.gram_lane(q.limit(0), names).isEmpty()
+
+
+def test_hashes_of_grams_differ(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    df = spark.range(2 * 36**3).select(F.concat(F.when(F.col("id") % 2 == 0, "~").otherwise(""), *[F.substring(F.lit(letters), (F.floor(F.col("id") / (2 * 36**k)) % 36 + 1).cast("int"), F.lit(1)) for k in range(3)]).alias("g"))
+    assert df.distinct().count() == df.select(F.xxhash64("g")).distinct().count() == 2 * 36**3

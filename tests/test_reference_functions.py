@@ -1,5 +1,7 @@
 """Scalar functions and kernels against values worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,21 @@ def test_labels(spark):
     assert one(spark, "Nationality Country", vocab.identifier_type) is None
     assert one(spark, "Tax ID No.", vocab.identifier_type) == "Tax ID"
     assert one(spark, "Vessel Flag", vocab.group_for) == "Vessel / Aircraft"
+
+
+def test_scores_below_what_is_asked_stay_below():
+    """A floor never changes a score that reaches it, and never lifts another."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ABEO01I") for _ in range(r.randint(1, 8)))
+    cut = 0
+    for k in range(3000):
+        q = [word() for _ in range(r.randint(1, 4))]
+        c = [x if r.random() < 0.6 else word() for x in q] + [word()] * (r.random() < 0.3)
+        weight, confusable = [r.random() * 5 + 0.1 for _ in q], frozenset({"0O", "O0"} if k % 2 else ())
+        whole = similarity.name_score(q, c, weight, k % 3 == 0, confusable)
+        for least in (0.8, 0.86, 0.95):
+            short = similarity.name_score(q, c, weight, k % 3 == 0, confusable, least)
+            assert short == whole or (whole < least and short <= whole)
+            cut += short != whole
+        assert similarity.edit_bound(q[0], c[0], confusable) >= similarity.edit_sim(q[0], c[0], confusable) - 1e-9
+    assert cut
