@@ -33,19 +33,24 @@ DIRECT, MOST_HELD = 256, 4096
 HOT_SHARE = 1 / 2000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of the lower-cased words, repeats included; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     pairs = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in pairs), np.uint64, len(words) - k + 1)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in pairs), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit i is set if it is set in over half of the shingles' XXH64."""
+    h = shingle_hashes(text, shingle, seed)
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
         part = h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -67,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return source.mapInArrow(run, "id long, fp long, key long")
 
 
-def _forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links a[i] - b[i] between positions in fps."""
     root = list(range(len(fps)))
 
@@ -96,13 +101,13 @@ def link_set(fps: np.ndarray, key: int, radius: int = RADIUS) -> tuple[np.ndarra
     if n <= DIRECT:
         close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
         a, b = np.nonzero(np.triu(close, 1))
-        return _forest(fps, a, b)
+        return forest(fps, a, b)
     # Many fingerprints that share this half but for a bit: ball hashing of their other half.  A variant
     # within t1 bits of one and t2 bits of another, t1 + t2 <= what the shared half leaves, links them.
     v, who, cost = other_variants(fps, np.full(n, key), radius)
     a, b = cheapest_links(np.zeros(len(v), np.int64), v, cost, who)
     good = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-    return _forest(fps, a[good], b[good])
+    return forest(fps, a[good], b[good])
 
 
 def other_variants(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,15 +241,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    return given_back(rows, rooted, ["fp"])
+
+
+def given_back(rows: DataFrame, rooted: DataFrame, on: list[str]) -> DataFrame:
+    """(id, *on, key, root, component_id) for every row.  rooted: distinct fingerprints `on` with the least id `low`, the row count n and root."""
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    owner = materialize(rooted.join(lows, "root").select("fp", "n", "root", "component_id"), "owner")
+    owner = materialize(rooted.join(lows, "root").select(*on, "n", "root", "component_id"), "owner")
     # fingerprints of at least HOT_SHARE of the rows, 1 / HOT_SHARE at most, are broadcast; no other is hot
     floor = F.lit(max(2, int(rows.count() * HOT_SHARE)))
     hot = F.broadcast(owner.where(F.col("n") >= floor))
-    first = rows.join(hot, "fp", "left")
+    first = rows.join(hot, on, "left")
     done = first.where(F.col("n").isNotNull())
-    rest = first.where(F.col("n").isNull()).select("fp", "id", "key").join(owner.where(F.col("n") < floor), "fp")
-    return done.select("id", "fp", "key", "root", "component_id").unionByName(rest.select("id", "fp", "key", "root", "component_id"))
+    rest = first.where(F.col("n").isNull()).select(*on, "id", "key").join(owner.where(F.col("n") < floor), on)
+    columns = ["id", *on, "key", "root", "component_id"]
+    return done.select(*columns).unionByName(rest.select(*columns))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

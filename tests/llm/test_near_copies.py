@@ -1,0 +1,117 @@
+"""SimHash near-dedup at a stated similarity against plain versions."""
+
+import math
+import random
+
+import numpy as np
+from xxhash import xxh64_intdigest
+
+from partyloom.llm import near_copies
+
+MASK = (1 << 64) - 1
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_print(text):
+    hashes = [xxh64_intdigest(s, 42) for s in shingles(text)]
+    bits = 0
+    for k in range(12):
+        mixed = []
+        for h in hashes:
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & MASK
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+            mixed.append(x ^ (x >> 31))
+        for i in range(64):
+            if sum(x >> i & 1 for x in mixed) * 2 > len(mixed):
+                bits |= 1 << (64 * k + i)
+    return len(hashes), bits
+
+
+def brute_components(rows):
+    """Component id of each (id, text), by comparing all pairs under the stated rule."""
+    made = [brute_print(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    cut = lambda p: [p >> (64 * (t // 2) + 32 * (t % 2)) & (1 << 28) - 1 for t in range(10)]
+    pieces = [cut(p) for _, p in made]
+    for i, (m, p) in enumerate(made):
+        for j in range(i):
+            n, o = made[j]
+            apart = (p ^ o).bit_count()
+            shared = math.cos(math.pi * apart / 768) * math.sqrt(m * n)
+            like = shared >= (m + n - shared) * 0.77 and min(m, n) >= 0.8 * max(m, n)
+            meet = any((x ^ y).bit_count() <= 2 for x, y in zip(pieces[i], pieces[j], strict=True)) and (p >> 320 & MASK ^ o >> 320 & MASK).bit_count() <= 15
+            if p == o or (like and meet):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        ids = least.setdefault(find(i), [])
+        ids += [] if k is None else [k]
+    return [min(least[find(i)], default=None) for i in range(len(rows))]
+
+
+def edited(words, changes, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def groups(spark, rows):
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, id string, node int")
+    return {(r["id"], r["component_id"]) for r in near_copies.near_groups(df).collect()}
+
+
+def test_components_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(None, "a b"), (None, "A  b"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "One"), (None, "")]
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([8, 60, 200, 400]))]
+        rows += [(100 * (g + 1) + i, edited(base, rng.randrange(0, 1 + len(base) // 20), rng)) for i in range(6)]
+    rows.append((9000, " ".join(f"v{i % 9000}" for i in range(60_000))))
+    want = brute_components(rows[:-1])
+    assert groups(spark, rows) == {(k, c) for (k, _), c in zip(rows[:-1], want, strict=True)} | {(9000, 9000)}
+    assert groups(spark, []) == set()
+
+
+def test_finds_near_copies_and_leaves_others(spark):
+    rng = random.Random(5)
+    rows, found = [], {}
+    for g in range(60):
+        base = [f"w{rng.randrange(2000)}" for _ in range(300)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, edited(base, 1 + g % 8, rng))]
+    got = dict(groups(spark, rows))
+    sets = {k: shingles(t) for k, t in rows}
+    for g in range(60):
+        a, b = sets[2 * g], sets[2 * g + 1]
+        assert got[2 * g] == 2 * g and got[2 * g + 1] in (2 * g, 2 * g + 1)
+        found.setdefault(len(a & b) / len(a | b) >= 0.85, []).append(got[2 * g + 1] == 2 * g)
+    assert np.mean(found[True]) >= 0.9
+
+
+def test_large_groups_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST_HELD", 20)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, edited(base, 2, rng)) for i in range(150)] + [(1000 + i, edited([f"x{j}" for j in range(200)], 1, rng)) for i in range(3)] + [(2000, "alone")]
+    got = groups(spark, rows)
+    assert got == {(k, 0 if k < 1000 else 1000 if k < 2000 else 2000) for k, _ in rows}
+
+
+def test_spread_spans_components():
+    rng = np.random.default_rng(1)
+    centers = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    sketch = centers[rng.integers(0, 40, 700)] ^ (np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64))
+    a, b, leaders = near_copies.spread(sketch, 15)
+    assert (np.bitwise_count(sketch[a] ^ sketch[b]) <= 15).all() and len(a) == len(sketch) - len(leaders)
+    assert len(set(b.tolist()) | set(leaders.tolist())) == len(sketch) and len(leaders) <= 40

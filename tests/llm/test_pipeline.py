@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import tiktoken
-from test_operators import brute_simhash, lower
+from test_near_copies import brute_components
+from test_operators import lower
 
 import corpus_pipeline
 from partyloom.llm import mixing, quality, queries
@@ -30,8 +31,8 @@ def test_stages(spark):
         last[lower(r["text"])] = max(last.get(lower(r["text"]), -1), r["doc_id"])
     assert Counter(r["doc_id"] for r in once.collect()) == Counter(last.values())
     near = materialize(steps["SimHash near-dedup"](spark, once, SF), "t3")
-    rows, n = brute_simhash([tuple(r) for r in once.collect()])
-    assert {r["doc_id"] for r in near.collect()} == {c for _, _, c in rows} and near.count() == n
+    least = set(brute_components([(r["doc_id"], r["text"]) for r in once.collect()]))
+    assert {r["doc_id"] for r in near.collect()} == least and near.count() == len(least)
     mixed = materialize(steps["mixing to target weights"](spark, near, SF), "t4")
     times = {r["doc_id"]: r["copies"] for r in mixing.mix(near).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in times.items() if v})
