@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partyloom.llm import ann, bpe, exact_dedup, langid, mixing, quality, secrets, simhash, substring_dedup, url_filter
-from partyloom.llm.common import table
+from partyloom.llm import ann, bpe, exact_dedup, fim, langid, merkle, mixing, quality, secrets, simhash, substring_dedup, url_filter
+from partyloom.llm.common import crc_mod, materialize, table
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
 
@@ -73,7 +73,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(crc_mod(F.col("doc_id"), 3) == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    rows = materialize(docs.select("doc_id", "lang", merkle.leaf(docs).alias("leaf"), merkle.leaf(docs, instead={"text": tampered}).alias("now")), "leaves")
+    told = merkle.folded(merkle.manifest(rows), "now")
+    spell = lambda c: F.lower(F.hex(c))
+    return told.select(
+        "doc_id", spell("leaf").alias("leaf"), spell("subroot").alias("subroot"), spell("root").alias("root"),
+        F.sha2(spell("siblings").cast("binary"), 256).alias("proof_sha256"), spell("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op5_substring_dedup, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op5_substring_dedup, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing, op11_fim, op12_merkle)
 }
-ORACLE: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": url_filter.ORACLE}
+ORACLE: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": url_filter.ORACLE, "op11_fim": fim.ORACLE, "op12_merkle": merkle.ORACLE}
