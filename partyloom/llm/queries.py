@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partyloom.llm import ann, bpe, exact_dedup, fim, langid, merkle, mixing, quality, secrets, simhash, substring_dedup, url_filter
+from partyloom.llm import ann, bpe, exact_dedup, fim, langid, merkle, mixing, quality, secrets, simhash, substring_dedup, url_filter, window_dedup
 from partyloom.llm.common import crc_mod, materialize, table
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -92,7 +92,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op5_substring_dedup, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing, op11_fim, op12_merkle)
+    f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_url_filter, op5_substring_dedup, op6_langid, op7_simhash, op8_ann, op9_bpe, op10_mixing, op11_fim, op12_merkle, op13_window_dedup)
 }
-ORACLE: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": url_filter.ORACLE, "op11_fim": fim.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLE: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": url_filter.ORACLE, "op11_fim": fim.ORACLE, "op12_merkle": merkle.ORACLE, "op13_window_dedup": window_dedup.ORACLE}
