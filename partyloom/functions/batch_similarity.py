@@ -421,9 +421,14 @@ class WordTable:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def alike_words(asked: list[str], vocabulary: DataFrame, least: float, confusable: frozenset = frozenset()) -> DataFrame:
-    """(q_token, token, sim): words of the vocabulary (token) alike the asked ones.  asked: a bounded list, broadcast."""
+#: Pairs of words that one task compares, about, and words of the vocabulary at once.
+TASK_PAIRS, VOCABULARY_ROWS = 1 << 23, 4096
+
+
+def alike_words(asked: list[str], vocabulary: DataFrame, size: int, least: float, confusable: frozenset = frozenset()) -> DataFrame:
+    """(q_token, token, sim): words of the vocabulary (token, `size` rows) alike the asked ones.  asked: a bounded list, broadcast."""
     spark = vocabulary.sparkSession
+    tasks = max(1, min(size, -(-size * len(asked) // TASK_PAIRS)))
     held = spark.sparkContext.broadcast((sorted(asked), confusable))
 
     def run(batches):
@@ -432,9 +437,9 @@ def alike_words(asked: list[str], vocabulary: DataFrame, least: float, confusabl
             if table is None:
                 table = WordTable(*held.value)
             other = batch.column(0).to_pylist()
-            for lo in range(0, len(other), 4096):
-                part = other[lo : lo + 4096]
+            for lo in range(0, len(other), VOCABULARY_ROWS):
+                part = other[lo : lo + VOCABULARY_ROWS]
                 i, j, score = table.alike(part, least)
                 yield pa.RecordBatch.from_arrays([pa.array([table.asked[k] for k in i.tolist()], pa.string()), pa.array([part[k] for k in j.tolist()], pa.string()), pa.array(score)], ["q_token", "token", "sim"])
 
-    return vocabulary.select("token").mapInArrow(run, "q_token string, token string, sim double")
+    return vocabulary.select("token").repartition(tasks).mapInArrow(run, "q_token string, token string, sim double")
