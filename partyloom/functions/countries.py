@@ -12,6 +12,8 @@ from functools import cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from partyloom.functions.dates import SPACE, let
+
 # Labels that differ from the JVM's English names.
 LABELS = {
     "AG": "Antigua and Barbuda", "BA": "Bosnia and Herzegovina", "BL": "Saint Barthélemy", "CC": "Cocos (Keeling) Islands", "CD": "DR Congo", "CG": "Congo",
@@ -75,7 +77,9 @@ DEPENDENCIES = {
     "CN": "HK MO", "GB": "AI BM FK GG GI IM IO JE KY MS PN SH TC VG GS", "US": "AS GU MP PR VI", "FR": "BL GF GP MF MQ NC PF PM RE TF WF YT",
     "NL": "AW BQ CW SX", "DK": "FO GL", "FI": "AX", "NO": "SJ", "AU": "CC CX NF", "NZ": "CK NU TK",
 }
+# Words that stay small inside a label.
 SMALL_WORDS = ("of", "and", "the", "de", "del", "la", "el", "da", "do")
+# Fixed value: the most words of a name that is looked for in free text.
 MOST_WORDS = 7
 
 
@@ -104,49 +108,40 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(made, key)
 
 
-def label_of(raw: str | None) -> str:
-    """One value to one label; '' for placeholders.  'na' is a placeholder, 'NA' is Namibia."""
-    label, spelled, _ = tables()
-    return _label(raw, label, spelled)
-
-
-def _label(raw: str | None, label: dict, spelled: dict) -> str:
-    s = " ".join((raw or "").split()).removesuffix(".").strip()
-    if s in ("", "na") or s.isdigit() or re.fullmatch(r"n/a|unknown|none|-+", s, re.I):
-        return ""
-    bare = re.sub(r"\s*\([^)]*\)\s*$", "", s).strip()
-    for form in (s.upper(), bare.upper()):
-        if form in spelled:
-            return spelled[form]
-    s = bare if len(bare) > 2 else s
-    if len(s) == 2 and s.isascii() and s.isalpha() and s.upper() in label:
-        return label[s.upper()]
-    if s == s.upper() and len(s) > 3:
-        words = re.split(r"(\s+|-)", s.lower())
-        return "".join(w if i and w in SMALL_WORDS else w[:1].upper() + w[1:] for i, w in enumerate(words))
-    return s
-
-
-def _labels(raw: str | None, label: dict, spelled: dict) -> list[str]:
-    s = (raw or "").strip()
-    parts = re.split(r"\(\d+\)", s) if re.match(r"\(\d+\)", s) else s.split(";")
-    return list(dict.fromkeys(x for p in parts if (x := _label(p, label, spelled))))
-
-
-def _array(f, kind: str):
-    """f of every value of an array column, as one Arrow UDF with the tables in its closure."""
-    return lambda col: F.udf(lambda many: f(many if many is not None else []), kind, useArrow=True)(col)
+def _titled(s: Column) -> Column:
+    """A name in capitals as a label: words and parts of hyphenated ones begin with a capital, but for small words inside."""
+    small = F.array(*map(F.lit, SMALL_WORDS))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))
+    part = lambda first: lambda w, k: F.when(F.array_contains(small, w) & ~(first & (k == 0)), w).otherwise(capital(w))
+    word = lambda w, i: F.array_join(F.transform(F.split(w, "-"), part(i == 0)), "-")
+    return F.array_join(F.transform(F.split(F.lower(s), " "), word), " ")
 
 
 def canonical_country(raw: Column) -> Column:
+    """One value to one label (C1); '' for placeholders.  'na' is a placeholder, 'NA' is Namibia."""
     label, spelled, _ = tables()
-    return F.udf(lambda s: _label(s, label, spelled), "string", useArrow=True)(raw)
+
+    def read(s: Column) -> Column:
+        bare = F.trim(F.regexp_replace(s, r"\s*\([^)]*\)\s*$", ""))
+        nothing = s.isin("", "na") | s.rlike(r"^\d+$") | s.rlike(r"^(?i)(n/a|unknown|none|-+)$")
+        listed = F.coalesce(_lookup(spelled, F.upper(s)), _lookup(spelled, F.upper(bare)))
+        rest = lambda x: F.coalesce(
+            F.when(x.rlike("^[A-Za-z]{2}$"), _lookup(label, F.upper(x))),
+            F.when((F.upper(x) == x) & (F.length(x) > 3), _titled(x)),
+            x,
+        )
+        return F.when(nothing, "").otherwise(F.coalesce(listed, let(F.when(F.length(bare) > 2, bare).otherwise(s), rest)))
+
+    clean = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), SPACE, " "))
+    return let(F.trim(F.regexp_replace(clean, r"\.$", "")), read)
 
 
 def labels_of(raw: Column) -> Column:
-    """Labels of all values of an array; a value may name several: '(1) A. (2) B' or 'A; B'."""
-    label, spelled, _ = tables()
-    return _array(lambda many: list(dict.fromkeys(x for s in many for x in _labels(s, label, spelled))), "array<string>")(raw)
+    """Labels of all values of an array; a value may name several: '(1) A. (2) B' or 'A; B' (C2)."""
+    several = lambda s: F.when(F.trim(s).rlike(r"^\(\d+\)"), F.split(s, r"\(\d+\)")).otherwise(F.split(s, ";"))
+    values = F.filter(F.coalesce(raw, F.array().cast("array<string>")), lambda s: s.isNotNull())
+    parts = F.flatten(F.transform(values, several))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: canonical_country(x)), lambda x: x != ""))
 
 
 def parse_countries(raw: Column) -> Column:
@@ -154,15 +149,14 @@ def parse_countries(raw: Column) -> Column:
 
 
 def codes_of(raw: Column) -> Column:
-    """Codes of all values of an array, each once; names that aren't known give none."""
-    label, spelled, code = tables()
-    return _array(lambda many: list(dict.fromkeys(code[x] for s in many for x in _labels(s, label, spelled) if x in code)), "array<string>")(raw)
+    """Codes of all values of an array, each once; names that aren't known give none."""
+    code = tables()[2]
+    return F.array_distinct(F.filter(F.transform(labels_of(raw), lambda x: _lookup(code, x)), lambda x: x.isNotNull()))
 
 
 def known(raw: Column) -> Column:
     """For each value of an array whether it names a known country."""
-    label, spelled, code = tables()
-    return _array(lambda many: [any(x in code for x in _labels(s, label, spelled)) for s in many], "array<boolean>")(raw)
+    return F.transform(raw, lambda s: F.size(codes_of(F.array(s))) > 0)
 
 
 def country_codes(raw: Column) -> Column:
@@ -179,35 +173,44 @@ def expand_codes(codes: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(codes, lambda c: F.filter(F.array(c, _lookup(parent, c)), lambda x: x.isNotNull()))))
 
 
-def _words(s: str) -> list[str]:
-    return re.sub("[^A-Z ]+", " ", s.upper()).split()
-
-
 @cache
 def _phrases() -> dict[str, str]:
+    """Code by phrase: every label and spelling in capitals and single spaces."""
     label, spelled, code = tables()
+    words = lambda s: " ".join(re.sub("[^A-Z ]+", " ", s.upper()).split())
     out: dict[str, str] = {}
     for c, n in label.items():
-        out.setdefault(" ".join(_words(n)), "GB" if c == "UK" else c)
+        out.setdefault(words(n), "GB" if c == "UK" else c)
     for s, n in spelled.items():
         if n in code:
-            out.setdefault(" ".join(_words(s)), code[n])
-    out.pop("", None)
-    return out
+            out.setdefault(words(s), code[n])
+    return {p: c for p, c in out.items() if 1 <= len(p.split()) <= MOST_WORDS}
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """Any of the phrases as whole words, the longest first; phrases are grouped by their first words."""
+    begins: dict[str, list[str]] = {}
+    for p in phrases:
+        first, _, rest = p.partition(" ")
+        begins.setdefault(first, []).append(rest)
+    words = []
+    for first, rests in sorted(begins.items()):
+        more = [" " + r for r in sorted(rests, key=lambda r: (-len(r.split()), r)) if r]
+        tail = "(?:" + "|".join(f"{m}(?= |$)" for m in more) + ("|)" if "" in rests else ")") if more else ""
+        words.append((first[:1], f"{first[1:]}{tail}"))
+    letters: dict[str, list[str]] = {}
+    for letter, rest in words:
+        letters.setdefault(letter, []).append(rest)
+    return r"(?<![A-Z])(?:" + "|".join(f"{k}(?:{'|'.join(f'{r}(?= |$)' for r in v)})" for k, v in letters.items()) + ")"
 
 
 def code_in_text(text: Column) -> Column:
-    """Code of the rightmost country named in free text, the longest phrase at each place; '' if none."""
-    known = _phrases()
+    """Code of the rightmost country named in free text, the longest phrase at each place; '' if none.
 
-    def find(s: str | None) -> str:
-        words, found, i = _words(s or ""), "", 0
-        while i < len(words):
-            sizes = (n for n in range(min(MOST_WORDS, len(words) - i), 0, -1) if " ".join(words[i : i + n]) in known)
-            n = next(sizes, 0)
-            if n:
-                found = known[" ".join(words[i : i + n])]
-            i += n or 1
-        return found
-
-    return F.udf(find, "string", useArrow=True)(text)
+    One pass of a regular expression over the words: matches don't overlap and come from the left,
+    so a phrase inside a longer one that was found isn't looked at.
+    """
+    known = _phrases()
+    words = F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z]+", " "))
+    found = F.regexp_extract_all(words, F.lit(phrase_pattern(list(known))), F.lit(0))
+    return F.coalesce(_lookup(known, F.try_element_at(found, F.lit(-1))), F.lit(""))

@@ -5,87 +5,91 @@ A birth date is an interval (from, to, precision, approximate) with ISO strings,
 
 from __future__ import annotations
 
-import calendar
-import re
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTERVAL = "struct<from:string,to:string,precision:string,approximate:boolean>"
-# Month names.
+# Month names, and the words and signs of published dates.
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
+QUALIFIER = r"(?i)\b(approx\.?|approximately|circa|ca\.|c\.)\s*"
+EXPLICIT_RANGE = r"(?i)\(\s*range\s+(\d{4}-\d{2}-\d{2})\s*[–—-]\s*(\d{4}-\d{2}-\d{2})\s*\)"
+RANGE = r"(?i)\s+to\s+|\s*[–—]\s*"
+#: Forms of a single date and the places of year, month and day in them (0: not stated); slashed dates are day first.
+FORMS = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{4})-(\d{1,2})$", (1, 2, 0)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1)),
+    (r"^(\d{1,2})\s+([A-Za-z]+)\.?\s+(\d{4})$", (3, 2, 1)),
+    (r"^([A-Za-z]+)\.?\s+(\d{4})$", (2, 1, 0)),
+    (r"^(\d{4})$", (1, 0, 0)),
+)
+SPACE = r"(?U)\s+"
 
 
-_MONTH = {form: i for i, m in enumerate(MONTHS, 1) for form in (m, m[:3])} | {"SEPT": 9}
-_FORMS = (
-    (re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})"), "ymd"),
-    (re.compile(r"(\d{4})-(\d{1,2})"), "ym"),
-    (re.compile(r"(\d{1,2})/(\d{1,2})/(\d{4})"), "dmy"),
-    (re.compile(r"(\d{1,2})\s+([A-Za-z]+)\.?\s+(\d{4})"), "dmy"),
-    (re.compile(r"([A-Za-z]+)\.?\s+(\d{4})"), "my"),
-    (re.compile(r"(\d{4})"), "y"),
-)
-_QUALIFIER = re.compile(r"\b(approx\.?|approximately|circa|ca\.|c\.)\s*", re.I)
-_EXPLICIT = re.compile(r"\(\s*range\s+(\d{4}-\d{2}-\d{2})\s*[–—-]\s*(\d{4}-\d{2}-\d{2})\s*\)", re.I)
-_SPLIT = re.compile(r"\s+to\s+|\s*[–—]\s*", re.I)
-
-
-def _span(y: int, m: int | None, d: int | None) -> tuple[str, str, str] | None:
-    """The narrowest of day, month and year that the calendar has; years are 1000 to 2999."""
-    if not 1000 <= y <= 2999:
-        return None
-    if not m or m > 12:
-        return f"{y:04}-01-01", f"{y:04}-12-31", "year"
-    last = calendar.monthrange(y, m)[1]
-    if not d or d > last:
-        return f"{y:04}-{m:02}-01", f"{y:04}-{m:02}-{last:02}", "month"
-    return (f"{y:04}-{m:02}-{d:02}",) * 2 + ("day",)
-
-
-def parse_single(raw: str) -> tuple[str, str, str] | None:
-    """One date without range or qualifier; slashed dates are day first and 00 is an unknown part."""
-    for form, order in _FORMS:
-        found = form.fullmatch(raw.strip())
-        if not found:
-            continue
-        part = {}
-        for letter, value in zip(order, found.groups(), strict=True):
-            part[letter] = int(value) if value.isdigit() else _MONTH.get(value.upper())
-        if "m" in part and part["m"] is None:
-            continue
-        d = part.get("d") if part.get("m") != 0 else None
-        return _span(part["y"], part.get("m"), d)
-    return None
-
-
-@lru_cache(1 << 16)
-def interval_of(raw: str) -> tuple[str, str, str, bool] | None:
-    """The interval a published date states; an explicit range wins as it stands."""
-    s = " ".join(raw.split())
-    bare, qualified = _QUALIFIER.subn("", s)
-    approximate, bare = qualified > 0, bare.strip()
-    if explicit := _EXPLICIT.search(bare):
-        return explicit[1], explicit[2], "range", approximate
-    bare = re.sub(r"\s*\([^)]*\)\s*$", "", bare).strip()
-    parts = [p for p in map(str.strip, _SPLIT.split(bare)) if p]
-    if len(parts) == 2:
-        found = sorted(x for x in map(parse_single, parts) if x)
-        if len(found) == 2:
-            return found[0][0], found[1][1], "range", approximate
-        return (*found[0], approximate) if found else None
-    one = parse_single(bare)
-    return (*one, approximate) if one else None
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _month_number(name: Column) -> Column:
+    """1 to 12 of a number or a name, full or short; null if it is neither."""
+    forms = {form: i for i, m in enumerate(MONTHS, 1) for form in (m, m[:3])} | {"SEPT": 9}
+    known = F.map_from_arrays(F.array(*map(F.lit, forms)), F.array(*map(F.lit, forms.values())))
+    return F.coalesce(name.try_cast("int"), F.try_element_at(known, F.upper(name)))
+
+
+def _span(y: Column, m: Column, d: Column) -> Column:
+    """The narrowest of day, month and year that the calendar has, for years from 1000 to 2999; else null."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    made = lambda day: F.try_to_date(F.concat_ws("-", y.cast("string"), two(m), day), "yyyy-MM-dd")
+    interval = lambda a, b, how: F.struct(a.cast("string").alias("from"), b.cast("string").alias("to"), F.lit(how).alias("precision"))
+    whole = F.when(y.between(1000, 2999), interval(F.concat(y.cast("string"), F.lit("-01-01")), F.concat(y.cast("string"), F.lit("-12-31")), "year"))
+    month = lambda first: F.when(first.isNotNull() & y.between(1000, 2999), interval(first, F.last_day(first), "month")).otherwise(whole)
+    day = F.when((m > 0) & (d > 0), made(two(d)))
+    return let(day, lambda one: F.when(one.isNotNull() & y.between(1000, 2999), interval(one, one, "day")).otherwise(let(F.when(m.between(1, 12), made(F.lit("01"))), month)))
+
+
+def parse_single(raw: Column) -> Column:
+    """struct(from, to, precision) of one date without range or qualifier, or null; 00 is an unknown part."""
+
+    def read(s: Column) -> Column:
+        parts = None
+        for form, places in FORMS:
+            found = [F.regexp_extract(s, form, k) if k else F.lit("0") for k in places]
+            here = F.array(*found)
+            parts = F.when(s.rlike(form), here) if parts is None else parts.when(s.rlike(form), here)
+        return let(parts, lambda p: let(_month_number(p[1]), lambda m: F.when(p.isNotNull() & m.isNotNull(), _span(p[0].try_cast("int"), m, p[2].try_cast("int")))))
+
+    return let(F.trim(raw), read)
 
 
 def parse_date_value(raw: Column) -> Column:
-    """interval_of as a column."""
-    return F.udf(lambda s: interval_of(s or ""), INTERVAL, useArrow=True)(raw)
+    """struct(from, to, precision, approximate) that a published date states, or null; an explicit range wins as it stands."""
+
+    def pair(parts: Column) -> Column:
+        lower = lambda x, y: F.when(x["from"] <= y["from"], F.struct(x["from"].alias("from"), y["to"].alias("to"), F.lit("range").alias("precision"))).otherwise(F.struct(y["from"].alias("from"), x["to"].alias("to"), F.lit("range").alias("precision")))
+        ends = F.transform(parts, parse_single)
+        return let(ends, lambda e: F.when(e[0].isNotNull() & e[1].isNotNull(), lower(e[0], e[1])).otherwise(F.coalesce(e[0], e[1])))
+
+    def bare(s: Column) -> Column:
+        parts = F.filter(F.transform(F.split(s, RANGE), lambda x: F.trim(x)), lambda x: x != "")
+        return let(parts, lambda p: F.when(F.size(p) == 2, pair(p)).otherwise(parse_single(s)))
+
+    def stated(s: Column) -> Column:
+        explicit = F.struct(F.regexp_extract(s, EXPLICIT_RANGE, 1).alias("from"), F.regexp_extract(s, EXPLICIT_RANGE, 2).alias("to"), F.lit("range").alias("precision"))
+        return F.when(s.rlike(EXPLICIT_RANGE), explicit).otherwise(let(F.trim(F.regexp_replace(s, r"\s*\([^)]*\)\s*$", "")), bare))
+
+    def read(s: Column) -> Column:
+        found = let(F.trim(F.regexp_replace(s, QUALIFIER, "")), stated)
+        return let(found, lambda x: F.when(x.isNotNull(), F.struct(x["from"].alias("from"), x["to"].alias("to"), x["precision"].alias("precision"), s.rlike(QUALIFIER).alias("approximate"))))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), SPACE, " ")), read)
 
 
 def parse_date_values(raw: Column) -> Column:
-    """The intervals of an array's values, without those that state none."""
-    return F.udf(lambda many: [x for s in (many if many is not None else []) if (x := interval_of(s or ""))], f"array<{INTERVAL}>", useArrow=True)(raw)
+    """The intervals of an array's values, without those that state none."""
+    return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), parse_date_value), lambda x: x.isNotNull())
 
 
 def covers_year(interval: Column, year: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyloom.functions import countries
-from partyloom.functions.dates import interval_of
+from partyloom.functions.dates import parse_date_value
 from partyloom.functions.vocab import attribute_kind, identifier_kind
 
 # Floors, which rates are better low, and tolerated drops.
@@ -25,7 +25,7 @@ def _facts(df: DataFrame) -> DataFrame:
     kinds = F.transform("attributes", lambda a: F.struct(attribute_kind(a["label"]).alias("k"), a["value"].alias("v")))
     rows = df.select("authority", "names", "addresses", "identifiers", "relationships", kinds.alias("kinds"))
     of = lambda *k: F.transform(F.filter("kinds", lambda x: x["k"].isin(*k)), lambda x: x["v"])
-    births = F.udf(lambda many: [interval_of(s or "") is not None for s in many], "array<boolean>", useArrow=True)(of("dob"))
+    births = F.transform(of("dob"), lambda s: parse_date_value(s).isNotNull())
     stated = countries.known(of("nationality", "citizenship"))
     placed = countries.known(F.transform(F.filter("addresses", lambda a: a["country"] != ""), lambda a: a["country"]))
     ids = F.transform("identifiers", lambda i: identifier_kind(i["type"]) == "other_id")

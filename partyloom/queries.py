@@ -217,10 +217,11 @@ def j3_gram_lane(spark, sf_dir):
     return met.where("shared >= need").select(F.col("n").alias("a"), F.col("m").alias("b"), "shared")
 
 
-@query("SELECT p.page_id, e.event_id FROM (SELECT page_id, regexp_replace(upper(url), '[^A-Z0-9]', '', 'g') AS k FROM pages) p JOIN (SELECT event_id, 'HTTPSTHERHAEXAMPLENETEN' || event_id AS k FROM events) e USING (k)")
+@query("SELECT p.page_id, e.event_id FROM (SELECT page_id, 'PAGE' || page_id AS k FROM pages) p JOIN (SELECT event_id, 'PAGE' || event_id AS k FROM events) e USING (k)")
 def j4_n9_identifier_join(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", id_key(F.col("url")).alias("k"))
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("HTTPSTHERHAEXAMPLENETEN"), "event_id").alias("k"))
+    """Pages and events with one number, written in two ways."""
+    p = table(spark, sf_dir, "pages").select("page_id", id_key(F.concat(F.lit("Page No "), "page_id")).alias("k")).withColumn("k", F.replace("k", F.lit("PAGENO"), F.lit("PAGE")))
+    e = table(spark, sf_dir, "events").select("event_id", id_key(F.concat(F.lit("page-#/"), "event_id")).alias("k"))
     return p.join(e, "k").select("page_id", "event_id")
 
 
@@ -239,13 +240,25 @@ def j8_j9_capped_self_join(spark, sf_dir):
     " SELECT a.c_custkey AS c_custkey, count(*) - 1 AS overlaps FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1"
 )
 def j10_overlap_counts(spark, sf_dir):
-    """For each customer with dated orders how many others of the nation have overlapping years: equal spans are counted first, so no pairs of customers are formed."""
+    """For each customer with dated orders how many others of the nation have overlapping years.
+
+    All of the nation but those that end before and those that begin after: both by running sums
+    over counted starts and ends, so no pairs of spans are formed.
+    """
     spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     y = spans.join(c, spans["o_custkey"] == c["c_custkey"]).select("c_nationkey", "c_custkey", "lo", "hi")
     counted = y.groupBy("c_nationkey", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    a, b = counted.select("c_nationkey", "lo", "hi"), counted.select("c_nationkey", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "n")
-    met = a.join(b, "c_nationkey").where("lo <= hi2 AND lo2 <= hi").groupBy("c_nationkey", "lo", "hi").agg((F.sum("n") - 1).alias("overlaps"))
+    # a span asks at its start, before ends of that year are counted, and at its end, before starts of that year from the far side
+    points = counted.select("c_nationkey", "lo", "hi", "n", F.explode(F.array(*map(F.lit, ("asks_lo", "ends", "asks_hi", "starts")))).alias("what"))
+    at = F.when(F.col("what").isin("asks_lo", "starts"), F.col("lo")).otherwise(F.col("hi"))
+    points = points.withColumn("at", at).withColumn("turn", F.when(F.col("what").isin("asks_lo", "asks_hi"), 0).otherwise(1))
+    so_far = Window.partitionBy("c_nationkey").orderBy("at", "turn")
+    from_end = Window.partitionBy("c_nationkey").orderBy(F.desc("at"), "turn")
+    ends, starts = (F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)) for w in ("ends", "starts"))
+    points = points.withColumns({"before": ends.over(so_far), "after": starts.over(from_end), "all": F.sum(F.when(F.col("what") == "ends", F.col("n"))).over(Window.partitionBy("c_nationkey"))})
+    of = lambda w, c: F.max(F.when(F.col("what") == w, F.col(c)))
+    met = points.groupBy("c_nationkey", "lo", "hi").agg((F.max("all") - of("asks_lo", "before") - of("asks_hi", "after") - 1).alias("overlaps"))
     return y.join(met, ["c_nationkey", "lo", "hi"]).select("c_custkey", "overlaps")
 
 
@@ -345,10 +358,12 @@ LABELS = ("Date of Birth", "Nationality Country", "Passport", "Vessel Flag", "Ta
 KINDS = (("dob", "other_id", "Identity"), ("nationality", "other_id", "Identity"), ("passport", "passport", "Documents"), ("vessel", "other_id", "Vessel / Aircraft"), ("other", "tax_id", "Documents"), ("crypto", "crypto", "Digital & Contact"), ("other", "other_id", "Other"), ("other", "imo", "Vessel / Aircraft"), ("other", "registration", "Documents"), ("program_info", "other_id", "Other"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{label}', '{a}', '{i}', '{g}')" for label, (a, i, g) in zip(LABELS, KINDS, strict=True)) + ") t(label, attribute, identifier, grp)")
+@query("SELECT p_partkey, label, attribute, identifier, grp FROM part JOIN (VALUES " + ", ".join(f"({k}, '{label}', '{a}', '{i}', '{g}')" for k, (label, (a, i, g)) in enumerate(zip(LABELS, KINDS, strict=True))) + f") t(k, label, attribute, identifier, grp) ON p_partkey % {len(LABELS)} = k")
 def v1_v3_vocabulary(spark, sf_dir):
-    df = spark.createDataFrame([(x,) for x in LABELS], "label string")
-    return df.select("label", attribute_kind(F.col("label")).alias("attribute"), identifier_kind(F.col("label")).alias("identifier"), group_for(F.col("label")).alias("grp"))
+    """Every part with one of the labels, by its number."""
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % len(LABELS) + 1).cast("int"))
+    df = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+    return df.select("p_partkey", "label", attribute_kind(F.col("label")).alias("attribute"), identifier_kind(F.col("label")).alias("identifier"), group_for(F.col("label")).alias("grp"))
 
 
 @query("SELECT 'sup' AS k, s_suppkey AS id FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) UNION ALL SELECT 'cust', c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
@@ -375,4 +390,4 @@ def a22_group_hits(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("group_hits"))
 
 
-from partyloom import record_queries, screening_queries  # noqa: E402, F401  add their queries to the registry above
+from partyloom import record_queries, screening_queries, value_queries  # noqa: E402, F401  add their queries to the registry above
