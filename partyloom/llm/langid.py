@@ -27,6 +27,8 @@ from partyloom.llm.common import crc_mod, hash_sample, row_chunks, segment_sum,
 ORDERS = (2, 3, 4)
 BUCKETS, DIM = 1 << 14, 16
 MAX_ROWS, EPOCHS = 2500, 6
+#: Bytes of one long text that are looked at at once.
+TILE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -55,6 +57,13 @@ def grams(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def tiled(flat: np.ndarray):
+    """The buckets of all n-grams of one text, an array for each tile and order."""
+    for lo in range(0, len(flat), TILE):
+        for order, bucket in zip(ORDERS, grams(flat[lo : lo + TILE + max(ORDERS) - 1]), strict=True):
+            yield bucket[: min(TILE, max(0, len(flat) - lo - order + 1))]
+
+
 @dataclass
 class Model:
     """langs and, for each bucket, the calibrated logits; a score below floor counts as rejected."""
@@ -68,6 +77,11 @@ class Model:
         """(index of the language, probability) of each text."""
         n = len(offsets) - 1
         total, count = np.zeros((n, len(self.langs))), np.zeros(n)
+        if n == 1 and len(flat) > TILE:  # one long text: sums of tiles, so memory doesn't grow with it
+            for bucket in tiled(flat):
+                total[0] += self.table[bucket].sum(axis=0, dtype=float)
+                count[0] += len(bucket)
+            return self._best(total, count)
         for order, bucket in zip(ORDERS, grams(flat), strict=True):
             value = self.table[bucket]
             ends = np.maximum(offsets[1:] - order + 1, offsets[:-1])  # n-grams never cross texts
@@ -76,11 +90,14 @@ class Model:
             some = ends > offsets[:-1]
             total[some] += run[ends[some]] - run[offsets[:-1][some]]
             count += ends - offsets[:-1]
+        return self._best(total, count)
+
+    def _best(self, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         logits = total / np.maximum(count, 1)[:, None] + self.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return best, p[np.arange(n), best]
+        return best, p[np.arange(len(p)), best]
 
 
 def train(texts: list[bytes], langs: list[str], epochs: int = EPOCHS, seed: int = 0) -> Model | None:
@@ -94,9 +111,11 @@ def train(texts: list[bytes], langs: list[str], epochs: int = EPOCHS, seed: int
     out, bias = (rng.normal(size=(DIM, len(names))) * 0.3).astype(np.float32), np.zeros(len(names), np.float32)
     bags = []
     for text in texts:
-        every = np.concatenate(grams(np.frombuffer(text, np.uint8)))
-        k, c = np.unique(every, return_counts=True)
-        bags.append((k, (c / max(1, len(every))).astype(np.float32)))
+        times = np.zeros(BUCKETS, np.int64)
+        for bucket in tiled(np.frombuffer(text, np.uint8)):
+            times += np.bincount(bucket, minlength=BUCKETS)
+        k = np.flatnonzero(times)
+        bags.append((k, (times[k] / max(1, times.sum())).astype(np.float32)))
     order = rng.permutation(len(y))
     back = order[: len(order) // 5]  # kept back for calibration
     learn = order[len(order) // 5 :]
@@ -151,6 +170,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, modulus: int = 3, out: int =
 
 
 def has_letter(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2 and len(flat) > TILE and any(LETTER[flat[a : a + TILE]].any() for a in range(0, len(flat), TILE)):
+        return np.ones(1, bool)
     found = segment_sum(LETTER[flat].astype(np.int64), offsets) > 0
     wide = segment_sum((flat >= 128).astype(np.int64), offsets) > 0
     for i in np.flatnonzero(~found & wide).tolist():

@@ -10,7 +10,8 @@ remains for each source, which is rounded by itself.  So a source's taken words
 target by less than one document.  A source of any size is spread over its leaves.
 
 Random numbers come from the seed, source and level, and leaves from ids and sizes, so reruns
-agree under any partitioning.  Null texts and texts without words have size 0 and take 0; the null
+agree under any partitioning.  Rows that are equal in all of this, if they are more than HOT_SHARE
+of all rows, are counted and dealt anew by number, so that no leaf holds them all.  Null texts and texts without words have size 0 and take 0; the null
 source is a source and comes last.  Null ids hash like any other value; repeated rows are
 documents of their own.  Without any words all targets are 0; an empty table gives an empty result.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from partyloom.llm.common import materialize
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 LEAF_ROWS, FAN = 2048, 64
+#: Equal rows from this share of all rows on (1/share kinds at most) are numbered.
+HOT_SHARE = 1 / 20000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,7 +123,15 @@ def copies(rows: DataFrame, ratio_of: dict, seed: int = 0) -> DataFrame:
     count = rows.count()
     leaves = max(1, math.ceil(count / LEAF_ROWS))
     depth = max(1, math.ceil(math.log(leaves, FAN))) if leaves > 1 else 0
-    open_ = open_.withColumn("__leaf", F.pmod(F.xxhash64("id", "size", "__h"), F.lit(leaves)).cast("long"))
+    floor = max(LEAF_ROWS, int(count * HOT_SHARE))
+    copied = open_.groupBy(*open_.columns).agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") >= floor)
+    copied = materialize(copied, "copied")  # 1 / HOT_SHARE rows at most
+    open_ = open_.withColumn("__n", F.lit(0).cast("long"))
+    if not copied.isEmpty():
+        alike = reduce(and_, (open_[c].eqNullSafe(copied[c]) for c in rows.columns if c != "__ratio"))
+        again = copied.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__copies")
+        open_ = open_.join(F.broadcast(copied.select(*(c for c in copied.columns if c != "__copies"))), alike, "left_anti").unionByName(again)
+    open_ = open_.withColumn("__leaf", F.pmod(F.xxhash64("id", "size", "__h", "__n"), F.lit(leaves)).cast("long")).drop("__n")
     extra = [c for c in rows.columns if c not in ("id", "source", "size", "__ratio", "__part", "__whole")]
     order = ["id", "size", *extra]
 

@@ -7,7 +7,7 @@ Texts with repeated anchors then send, for each, the bytes around it that its st
 equal anchors meet, their right contexts form a suffix array with common-prefix lengths; a stack
 scan yields its interval tree, and within every interval the left contexts are compared: members
 whose left extensions stay equal long enough form a maximal repeat, diverse extensions end it.
-All members of an interval are reported, not neighbours only.  Bytes are compared, never just
+All members of an interval are reported, not neighbours only.  There bytes are compared, never just
 hashes.  Anchors with more than HOT occurrences, those of passages that many texts share, would put
 one passage into one task and are split: each of their strings goes by its own 128-bit digest,
 counted where it is made before anything is shuffled, and is repeated if the count exceeds one.
