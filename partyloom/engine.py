@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partyloom.functions.text import EMPTY, Lexicon
+from partyloom.functions.text import EMPTY, Lexicon, reading_order
 from partyloom.operators import crosslist, graph, ownership, present, quality, stats
 from partyloom.plans import below_the_line, screening
 from partyloom.plans import snapshot as snap
@@ -64,7 +64,7 @@ class Engine:
             "months": stats.monthly(dated),
             "months_by_authority": stats.monthly(dated, by="authority"),
             "years": stats.yearly(dated),
-            "recents": stats.recents(dated.where("date is not null").select("id", "name", "authority", "list", "type", "date"), "authority", [F.desc("date"), F.col("name"), F.col("id")]),
+            "recents": stats.recents(dated.where("date is not null").select("id", "name", "authority", "list", "type", "date"), "authority", [F.desc("date"), reading_order("name"), F.col("id")]),
         }
 
     def screen(self, queries: DataFrame, threshold: float = screening.DEFAULT_THRESHOLD, authority: str = "", list_name: str = "", program: str = "", exhaustive: bool = False) -> DataFrame:

@@ -119,6 +119,11 @@ def name_tokens(col: Column, lexicon: Lexicon = EMPTY) -> Column:
     return F.udf(lambda s: tokens(s, lexicon), "array<string>", useArrow=True)(col)
 
 
+def reading_order(col: Column | str) -> Column:
+    """What names sort by for a reader: accents and case tell equal letters apart only."""
+    return F.collate(F.col(col) if isinstance(col, str) else col, "UNICODE")
+
+
 def id_key(col: Column) -> Column:
     """Upper-case letters and digits only."""
     return F.regexp_replace(F.upper(F.coalesce(col.cast("string"), F.lit(""))), "[^A-Z0-9]", "")

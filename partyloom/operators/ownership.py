@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partyloom.functions.text import reading_order
 from partyloom.operators.components import connected_components
 from partyloom.operators.graph import edges
 from partyloom.operators.shared import pinned
@@ -141,7 +142,7 @@ def groups(parties: DataFrame, members: DataFrame | None = None) -> DataFrame:
     owned = owners.groupBy(F.col("owner").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     named = parties.select(F.col("id").alias("node"), "name")
     each = roots.join(owned, "node", "left").join(named, "node", "left").select("root", "node", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("name", "node").alias("name"))
-    label = F.min_by("name", F.struct((-F.col("k")).alias("k"), "name"))
+    label = F.min_by("name", F.struct((-F.col("k")).alias("k"), reading_order("name").alias("n"), "name"))
     size = each.groupBy("root").agg(F.count(F.lit(1)).alias("size"), label.alias("label")).where("size >= 2")
     inside = roots.join(size, "root").select(F.col("node"), F.col("root").alias("group_id"), "size", "label")
     return nodes.join(inside, "node").select("id", "group_id", "size", "label")

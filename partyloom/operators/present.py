@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partyloom.functions.dates import normalize_date
+from partyloom.functions.text import reading_order
 from partyloom.functions.vocab import GROUP_ORDER, attribute_kind
 
 LEGAL_PREFIX = r"(?i)^(public |open |closed )?(joint[- ]stock company|limited liability company|jsc|pjsc|ojsc|llc|ooo|oao|pao)\s+"
@@ -99,6 +101,16 @@ def group_sorted(ranked: DataFrame, groups: DataFrame) -> DataFrame:
     return met.withColumn("place", F.row_number().over(place))
 
 
+def client_order(mode: str = "") -> list[Column]:
+    """The order of a result list (L7): by name in reading order, by date, the newest first, or as ranked."""
+    ranked = [F.desc("score"), F.col("matched_field") != "primary name", F.col("party_id")]
+    if mode == "name":
+        return [reading_order("name"), *ranked]
+    if mode == "date":
+        return [F.desc_nulls_last(normalize_date(F.col("datePublished"))), *ranked]
+    return ranked
+
+
 def recent_filter(df: DataFrame, authority: str = "", kind: str = "", words: str = "") -> DataFrame:
     """By authority, type and free text over name, list, countries and programs."""
     if authority:

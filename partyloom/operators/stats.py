@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partyloom.functions import countries
 from partyloom.functions.dates import normalize_date
+from partyloom.functions.text import reading_order
 from partyloom.functions.vocab import values_of
 from partyloom.operators.graph import OWNERSHIP
 
@@ -15,8 +16,8 @@ RECENT, RECENT_EACH, TOP, YEARS, MONTHS = 150, 40, 15, 16, 24
 
 
 def top_counts(df: DataFrame, name: Column, most: int | None = TOP) -> DataFrame:
-    """(name, count), largest first, then by name (L2)."""
-    out = df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "name")
+    """(name, count), largest first, then by name in reading order (L2)."""
+    out = df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), reading_order("name"), "name")
     return out.limit(most) if most else out
 
 

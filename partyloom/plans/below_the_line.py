@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partyloom.functions.text import reading_order
 from partyloom.functions.vocab import identifier_kind
 
 # The curve's floor, step and list caps.
@@ -47,7 +48,7 @@ def prefix_hits(parties: DataFrame, q: str, most: int = MOST_PREFIX) -> DataFram
     if len(q) < 3 or " " in q:
         return parties.select("id", "name").limit(0)
     word = F.lit(q)
-    return parties.where(F.exists("names", lambda n: F.coalesce(starts_word(n["name"], word), F.lit(False)))).select("id", "name").orderBy("name", "id").limit(most)
+    return parties.where(F.exists("names", lambda n: F.coalesce(starts_word(n["name"], word), F.lit(False)))).select("id", "name").orderBy(reading_order("name"), "id").limit(most)
 
 
 def query_shape(q: Column) -> Column:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from partyloom.functions import countries
-from partyloom.functions.text import EMPTY, Lexicon, name_tokens
+from partyloom.functions.text import EMPTY, Lexicon, name_tokens, reading_order
 from partyloom.functions.vocab import identifier_kind
+from partyloom.operators.shared import pinned
 from partyloom.schema import COLUMNS, conform
 
 UMBRELLA = "Consolidated List"
@@ -113,22 +114,29 @@ class Assembly:
     log: list[dict] = field(default_factory=list)
 
 
+def taken_in(source: Source) -> tuple[DataFrame, int, int]:
+    """(records, rows, distinct ids, about) of a source: read once, written to the shared folder, and counted as it is written."""
+    seen = Observation()
+    rows = conform(source.read()).observe(seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("id").alias("ids"))
+    held = pinned(rows, "source")
+    return held, seen.get["rows"], seen.get["ids"]
+
+
 def assemble(sources: list[Source], previous: DataFrame | None = None) -> Assembly:
-    """Union of all sources; one that fails is replaced by the previous snapshot's rows."""
+    """Union of all sources; one that fails or is too short is replaced by the previous snapshot's rows."""
     parts, log = [], []
     for s in sources:
         try:
-            df = conform(s.read())
-            count = df.count()
+            df, count, ids = taken_in(s)
             if count < s.floor:
                 raise ValueError(f"{s.label}: {count} rows, at least {s.floor} expected")
             parts.append(df)
-            log.append({"label": s.label, "authorities": list(s.authorities), "ok": True, "count": count, "error": "", "carriedForward": False})
+            log.append({"label": s.label, "authorities": list(s.authorities), "ok": True, "count": count, "ids": ids, "error": "", "carriedForward": False})
         except Exception as e:  # noqa: BLE001  one source never takes the others down
             old = previous.where(F.col("authority").isin(*s.authorities)) if previous is not None else None
             if old is not None:
                 parts.append(conform(old))
-            log.append({"label": s.label, "authorities": list(s.authorities), "ok": False, "count": old.count() if old is not None else 0, "error": str(e)[:300], "carriedForward": old is not None})
+            log.append({"label": s.label, "authorities": list(s.authorities), "ok": False, "count": old.count() if old is not None else 0, "ids": 0, "error": str(e)[:300], "carriedForward": old is not None})
     if not parts:
         raise ValueError("no source could be read")
     out = parts[0]
@@ -162,7 +170,7 @@ def freshness(as_of: DataFrame, now: Column, stale_hours: int = STALE_HOURS) ->
 def delta(previous: DataFrame, now: DataFrame, most: int = MOST_CHANGES) -> DataFrame:
     """(change, id, name, authority, list, type): added and removed parties, by name, capped per side."""
     columns = ["id", "name", "authority", "list", "type"]
-    side = lambda a, b, word: a.join(b.select("id"), "id", "left_anti").select(F.lit(word).alias("change"), *columns).orderBy("name", "id").limit(most)
+    side = lambda a, b, word: a.join(b.select("id"), "id", "left_anti").select(F.lit(word).alias("change"), *columns).orderBy(reading_order("name"), "id").limit(most)
     return side(now, previous, "added").unionByName(side(previous, now, "removed"))
 
 
