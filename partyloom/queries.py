@@ -390,4 +390,4 @@ def a22_group_hits(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("group_hits"))
 
 
-from partyloom import record_queries, screening_queries, source_queries, value_queries  # noqa: E402, F401  add their queries to the registry above
+from partyloom import record_queries, report_queries, screening_queries, source_queries, value_queries  # noqa: E402, F401  add their queries to the registry above
