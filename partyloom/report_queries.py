@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from partyloom.functions.dates import age_text, short_date
+from partyloom.functions.similarity import DIGRAPHS
 from partyloom.functions.text import Lexicon, name_tokens, other_script, reading_order
 from partyloom.functions.vocab import can_be_identifier
 from partyloom.operators import crosslist, graph, ownership, present, quality
-from partyloom.plans import below_the_line
+from partyloom.operators.shared import shared_dir
+from partyloom.plans import below_the_line, screening
 from partyloom.plans import snapshot as snap
 from partyloom.queries import nation_edges, query, table
 from partyloom.record_queries import FLAT, KEYS, PLACES, WORDS, records
@@ -215,3 +220,87 @@ LABELLED = (("Passport", True), ("Nationality Country", False), ("Place of Birth
 @query(f"SELECT p_partkey, able FROM part JOIN {rows_sql([(a,) for _, a in LABELLED])} t(k, able) ON p_partkey % {len(LABELLED)} = k")
 def v3_f12_identifying_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", can_be_identifier(by_turn("p_partkey", [x for x, _ in LABELLED])).alias("able"))
+
+
+_DIGRAPHED = reduce(lambda x, pair: f"replace({x}, '{pair[0]}', '{pair[1]}')", DIGRAPHS, "token")
+
+
+def _once(s: str) -> str:
+    """s without repeats of a character next to itself, in SQL."""
+    return f"array_to_string(list_transform(range(1, length({s}) + 1), lambda k: CASE WHEN k > 1 AND substr({s}, k, 1) = substr({s}, k - 1, 1) THEN '' ELSE substr({s}, k, 1) END), '')"
+
+
+GRAM_SETS = (
+    f"WITH t AS (SELECT id, k, token FROM (SELECT id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM (SELECT id, string_split(trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')), ' ') AS t FROM ({FLAT})))),"
+    f" d AS (SELECT id, k, token, {_DIGRAPHED} AS f FROM t), o AS (SELECT id, k, token, translate({_once('f')}, 'EYJOHW', 'IIIU') AS f FROM d),"
+    f" w AS (SELECT id, string_agg(token, '' ORDER BY k) AS whole, string_agg(regexp_replace({_once('f')}, '[^A-Z0-9]', '', 'g'), '' ORDER BY k) AS fold FROM o GROUP BY id),"
+    " g AS (SELECT DISTINCT id, substr(whole, i, 3) AS gram FROM w, range(1, 200) r(i) WHERE i <= length(whole) - 2 UNION SELECT DISTINCT id, '~' || substr(fold, i, 3) FROM w, range(1, 200) r(i) WHERE i <= length(fold) - 2),"
+    " n AS (SELECT id, greatest(1, floor(count(*) * 0.25)) AS need FROM g GROUP BY id)"
+)
+
+
+@query(
+    GRAM_SETS + f", q AS (SELECT name AS qid, min(id) AS id FROM ({FLAT}) WHERE authority <> 'CUST' GROUP BY name)"
+    " SELECT q.qid, b.id AS party_id FROM q JOIN g a ON a.id = q.id JOIN g b USING (gram) JOIN n ON n.id = q.id GROUP BY q.qid, b.id, need HAVING count(*) >= need"
+)
+def j3_m7_library_gram_lane(spark, sf_dir):
+    """Distinct supplier and part names through the library's gram lane, against all parties."""
+    r = records(spark, sf_dir)
+    asked = r.where("authority <> 'CUST'").select(F.col("name").alias("qid"), F.col("name").alias("q")).distinct()
+    return screening.gram_lane(screening.query_table(asked), screening.names_table(r))
+
+
+REGION = "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, 'r1' FROM nation WHERE n_regionkey = 1"
+
+
+@query(
+    f"WITH e AS ({REGION}), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)"
+    " SELECT (SELECT count(*) FROM d) AS nodes, (SELECT count(*) FROM e) AS edges, 0 AS ownership_edges, (SELECT list(id ORDER BY degree DESC, id) FROM (SELECT * FROM d ORDER BY degree DESC, id LIMIT 5)) AS top"
+)
+def a17_j15_ego_metrics(spark, sf_dir):
+    """The region r1 with its nations and their customers: the induced edges and the five heaviest nodes."""
+    e = nation_edges(spark, sf_dir).withColumns({"ownership": F.lit(False), "type": F.lit("Linked to")})
+    near = graph.ego_nodes(e, "r1", 2, 1 << 30)
+    return graph.ego_metrics(near, graph.induced_edges(e, near)).select("nodes", "edges", "ownership_edges", "top")
+
+
+@query(f"WITH e AS ({REGION}) SELECT 'r1' AS id, 0 AS level UNION ALL SELECT src, CASE WHEN dst = 'r1' THEN 1 ELSE 2 END FROM e")
+def g12_levels(spark, sf_dir):
+    """Nations stand below their region, customers below their nation."""
+    e = nation_edges(spark, sf_dir).withColumn("type", F.lit("Subsidiary of"))
+    return graph.assign_levels(e, "r1").select("id", F.col("level").cast("int").alias("level"))
+
+
+@query(
+    f"WITH c AS (SELECT id, name, list, place FROM ({FLAT})), v AS (SELECT * FROM c WHERE place <> 2)"
+    " SELECT 'record' AS what, id, list AS detail FROM v UNION ALL SELECT 'change', id, 'added' FROM c WHERE place = 1 UNION ALL SELECT 'change', id, 'removed' FROM c WHERE place = 2"
+    f" UNION ALL SELECT 'profile', authority, '' || count(*) FROM ({FLAT}) WHERE place <> 2 GROUP BY authority"
+)
+def k1_k2_published_snapshot(spark, sf_dir):
+    """A version published with its profile and its changes, and read back by the pointer."""
+    r = records(spark, sf_dir)
+    at = F.col("addresses")[0]["country"]
+    now, root = r.where(at != PLACES[2]), f"{shared_dir(spark)}/partyloom/published-{uuid.uuid4().hex}"
+    snap.write_aside(quality.profile(now), root, "quality", "v2")
+    snap.write_aside(snap.delta(r.where(at != PLACES[1]), now, most=1 << 30), root, "changes", "v2")
+    snap.write_snapshot(now, root, "v2")
+    version, parties, _ = snap.current(spark, root)
+    changed, told = (snap.read_aside(spark, root, k, version) for k in ("changes", "quality"))
+    out = parties.select(F.lit("record").alias("what"), "id", F.col("list").alias("detail"))
+    out = out.unionByName(changed.select(F.lit("change").alias("what"), "id", F.col("change").alias("detail")))
+    return out.unionByName(told.select(F.lit("profile").alias("what"), F.col("authority").alias("id"), F.col("count").cast("string").alias("detail")))
+
+
+@query(
+    f"WITH r AS ({FLAT}), e AS (SELECT id AS owned, rid AS owner FROM r WHERE rel <> ''), m AS (SELECT owned AS id FROM e UNION SELECT owner FROM e),"
+    f" k AS ({KEYS}), w AS (SELECT DISTINCT id, token FROM ({WORDS}) WHERE length(token) >= 4), f AS (SELECT token FROM w GROUP BY token HAVING ln(((SELECT count(*) FROM ({FLAT})) + 1.0) / (count(*) + 1)) + 1 >= 6.5),"
+    " p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.key = b.key AND a.id < b.id JOIN w x ON x.id = a.id JOIN w y ON y.id = b.id AND y.token = x.token JOIN f ON f.token = x.token)"
+    " SELECT r.id AS party_id, name, list, CASE WHEN m.id IS NULL THEN NULL WHEN r.id IN ('CUST-0', 'SUP-0') THEN 'CUST-0' ELSE 'CUST-1' END AS group_id, CASE WHEN x.a IS NOT NULL THEN 'SUP' WHEN y.b IS NOT NULL THEN 'CUST' END AS also_listed_by"
+    " FROM r LEFT JOIN m ON m.id = r.id LEFT JOIN p x ON x.a = r.id LEFT JOIN p y ON y.b = r.id"
+)
+def p1_j16_enriched_hits(spark, sf_dir):
+    """Every party as a hit, with its record, its ownership group and its other listings."""
+    r = records(spark, sf_dir)
+    hits = r.select(F.lit(0).alias("qid"), F.col("id").alias("party_id"), F.lit(1.0).alias("score"))
+    rich = present.enriched(hits, r, ownership.profile(r), ownership.groups(r), crosslist.cross_listing(r, crosslist.clusters(r)))
+    return rich.select("party_id", "name", "list", F.col("cluster.group_id").alias("group_id"), F.get("cross_listed.also_listed_by", 0).alias("also_listed_by"))
