@@ -233,8 +233,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(id, fp, key, root, component_id) for every row of df; root is the component's least fingerprint."""
     rows = materialize(fingerprints(df, id_col, text_col, shingle, seed), "fps")
+    return grouped(rows, lambda distinct: links(distinct, radius))
+
+
+def grouped(rows: DataFrame, linked) -> DataFrame:
+    """(id, fp, key, root, component_id) of rows (id, fp, key); linked: a function from (fp), once each, to links (a, b)."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(linked(distinct.select("fp")))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     owner = materialize(rooted.join(lows, "root").select("fp", "n", "root", "component_id"), "owner")
