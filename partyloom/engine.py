@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,11 +14,10 @@ from partyloom.operators import crosslist, graph, ownership, present, quality, s
 from partyloom.plans import below_the_line, screening
 from partyloom.plans import snapshot as snap
 
-
 #: Ids that may be asked for.
 ID = re.compile(r"[A-Za-z0-9_:.-]+")
-#: Results of single queries that are kept, oldest out first.
-MOST_KEPT = 200
+# Results of single queries that are kept, the oldest out first, and for how many seconds.
+MOST_KEPT, KEPT_FOR = 500, 600.0
 
 
 class Engine:
@@ -26,7 +26,7 @@ class Engine:
     def __init__(self, parties: DataFrame, lexicon: Lexicon = EMPTY, expected: tuple[str, ...] = ()):
         self.parties, self.lexicon, self.expected = parties, lexicon, expected
         self.spark = parties.sparkSession
-        self._kept: dict[tuple, list] = {}
+        self._kept: dict[tuple, tuple[float, list]] = {}
 
     @cached_property
     def total(self) -> int:
@@ -90,13 +90,15 @@ class Engine:
         return present.enriched(hits, self.parties, self.profiles, self.groups, self.crossed)
 
     def kept_results(self, q: str, **how) -> list:
-        """Rows of search(), 200 at most, kept for equal questions to this snapshot (Q8)."""
-        key = (screening.clean_param(q, screening.MOST_QUERY), *sorted(how.items()))
-        if key not in self._kept:
+        """Rows of search(), 200 at most, kept for a while for equal questions to this snapshot (Q8)."""
+        key, now = (screening.clean_param(q, screening.MOST_QUERY), *sorted(how.items())), time.monotonic()
+        held = self._kept.get(key)
+        if held is None or now - held[0] >= KEPT_FOR:
+            self._kept.pop(key, None)
             while len(self._kept) >= MOST_KEPT:
                 self._kept.pop(next(iter(self._kept)))
-            self._kept[key] = self.search(q, **how).orderBy("rank").collect()
-        return self._kept[key]
+            held = self._kept[key] = (now, self.search(q, **how).orderBy("rank").collect())
+        return held[1]
 
     @cached_property
     def profiles(self) -> DataFrame:
