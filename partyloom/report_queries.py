@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partyloom.functions.dates import age_text, short_date
+from partyloom.functions.dates import age_text, normalize_date, short_date
 from partyloom.functions.similarity import DIGRAPHS
 from partyloom.functions.text import Lexicon, name_tokens, other_script, reading_order
 from partyloom.functions.vocab import can_be_identifier
-from partyloom.operators import crosslist, graph, ownership, present, quality
+from partyloom.operators import crosslist, graph, ownership, present, quality, stats
 from partyloom.operators.shared import shared_dir
 from partyloom.plans import below_the_line, screening
 from partyloom.plans import snapshot as snap
@@ -304,3 +304,81 @@ def p1_j16_enriched_hits(spark, sf_dir):
     hits = r.select(F.lit(0).alias("qid"), F.col("id").alias("party_id"), F.lit(1.0).alias("score"))
     rich = present.enriched(hits, r, ownership.profile(r), ownership.groups(r), crosslist.cross_listing(r, crosslist.clusters(r)))
     return rich.select("party_id", "name", "list", F.col("cluster.group_id").alias("group_id"), F.get("cross_listed.also_listed_by", 0).alias("also_listed_by"))
+
+
+def dated(spark, sf_dir):
+    """Party records with a day of listing each, some in the other way of writing, some without."""
+    r = records(spark, sf_dir).withColumn("key", F.substring_index("id", "-", -1).cast("int"))
+    day = F.date_add(F.lit("2001-01-01").cast("date"), (F.col("key") % 1500).cast("int"))
+    written = F.when(F.col("key") % 7 == 0, "").when(F.col("key") % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd'T'00:00:00"))
+    return r.withColumn("datePublished", written).drop("key")
+
+
+DATED = f"SELECT *, CASE WHEN key % 7 > 0 THEN (DATE '2001-01-01' + CAST(key % 1500 AS INT)) END AS day FROM ({NUMBERED})"
+
+
+@query(
+    f"SELECT count(*) AS parties, 0::BIGINT AS with_aliases, count(*) AS with_identifiers, count(*) FILTER (rel <> '') AS with_relationships, count(*) FILTER (rel <> '') AS edges, count(*) FILTER (rel <> '') AS ownership_edges,"
+    f" count(day) AS dated, min(day) AS oldest, max(day) AS newest, count(*) FILTER (DATE '2003-06-01' - day BETWEEN 0 AND 30) AS added_30, count(*) FILTER (DATE '2003-06-01' - day BETWEEN 0 AND 90) AS added_90, count(*) FILTER (DATE '2003-06-01' - day BETWEEN 0 AND 365) AS added_365 FROM ({DATED})"
+)
+def a5_a8_totals(spark, sf_dir):
+    return stats.totals(dated(spark, sf_dir), F.lit("2003-06-01").cast("date"))
+
+
+@query(
+    f"WITH d AS ({DATED}), l AS (SELECT date_trunc('month', max(day)) AS last FROM d), m AS (SELECT unnest(generate_series(last - INTERVAL 23 MONTH, last, INTERVAL 1 MONTH)) AS m FROM l), a AS (SELECT DISTINCT authority FROM d WHERE day IS NOT NULL)"
+    " SELECT strftime(m, '%Y-%m') AS month, a.authority, count(d.day) AS count FROM m CROSS JOIN a LEFT JOIN d ON date_trunc('month', d.day) = m AND d.authority = a.authority GROUP BY 1, 2"
+    " UNION ALL SELECT '' || y, 'year', count(day) FROM (SELECT unnest(range(year(last) - 15, year(last) + 1)) AS y FROM l) LEFT JOIN d ON year(day) = y GROUP BY 1, 2"
+)
+def a7_a9_months_and_years(spark, sf_dir):
+    rows = dated(spark, sf_dir).withColumn("date", normalize_date(F.col("datePublished")))
+    months = stats.monthly(rows, by="authority").select("month", "authority", "count")
+    return months.unionByName(stats.yearly(rows).select(F.col("year").cast("string").alias("month"), F.lit("year").alias("authority"), "count"))
+
+
+@query(f"SELECT id, name FROM ({FLAT}) WHERE starts_with(upper(name), 'RED') OR contains(upper(name), ' RED') ORDER BY lower(name), id LIMIT 25")
+def l4_library_prefix_hits(spark, sf_dir):
+    return below_the_line.prefix_hits(records(spark, sf_dir), "red")
+
+
+@query(
+    "WITH h AS (SELECT l_orderkey AS qid, l_partkey || '-' || l_linenumber || '-' || l_suppkey AS party_id, round(1 - l_discount * 2, 4) AS score, CASE WHEN l_suppkey % 3 > 0 THEN 'G' || (l_suppkey % 3) END AS group_id FROM lineitem),"
+    " c AS (SELECT *, CASE WHEN group_id IS NOT NULL THEN count(*) OVER (PARTITION BY qid, group_id) END AS group_hits FROM h)"
+    " SELECT qid, party_id, group_hits, row_number() OVER (PARTITION BY qid ORDER BY group_id IS NULL, group_hits DESC, group_id, score DESC, party_id) AS place FROM c"
+)
+def a22_w3_group_sorted(spark, sf_dir):
+    """Line items as hits of their orders, in groups by supplier."""
+    li = table(spark, sf_dir, "lineitem")
+    party = F.concat_ws("-", "l_partkey", "l_linenumber", "l_suppkey")
+    hits = li.select(F.col("l_orderkey").alias("qid"), F.concat_ws("/", "l_orderkey", party).alias("party_id"), party.alias("shown"), F.round(1 - F.col("l_discount") * 2, 4).alias("score"))
+    groups = li.where("l_suppkey % 3 > 0").select(F.concat_ws("/", "l_orderkey", party).alias("id"), F.concat(F.lit("G"), F.col("l_suppkey") % 3).alias("group_id")).distinct()
+    return present.group_sorted(hits, groups).select("qid", F.col("shown").alias("party_id"), "group_hits", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    f"SELECT id, 'Identity' AS grp, 2 AS n, list || ' last' AS lists FROM ({FLAT}) WHERE list <> 'Consolidated List' UNION ALL SELECT id, 'Documents', 1, list || ' last' FROM ({FLAT}) WHERE list <> 'Consolidated List'"
+    f" UNION ALL SELECT id, unnest(['Identity', 'Documents']), unnest([2, 1]), 'A List last' FROM ({FLAT}) WHERE list = 'Consolidated List'"
+)
+def p5_p6_groups_and_lists(spark, sf_dir):
+    """Attributes by display group, in order, and lists with the umbrella list last."""
+    r = records(spark, sf_dir)
+    told = lambda g, k: F.struct(F.lit(g).alias("group"), F.lit(k).alias("label"), F.lit("v").alias("value"))
+    r = r.withColumn("attributes", F.array(told("Identity", "Gender"), told("Documents", "Passport"), told("Identity", "Nationality")))
+    first = F.when(F.col("list") == "Consolidated List", "A List").otherwise(F.col("list"))
+    lists = r.select("id", F.replace(F.array_join(present.ordered_lists(F.array(F.lit("Consolidated List"), first)), " "), F.lit("Consolidated List"), F.lit("last")).alias("lists"))
+    groups = present.attribute_groups(r).where("position > 0 AND attributes[0].label IN ('Gender', 'Passport')")
+    return groups.join(lists, "id").select("id", F.col("group").alias("grp"), F.size("attributes").alias("n"), "lists")
+
+
+@query(
+    f"WITH r AS ({FLAT}) SELECT authority, count(*) AS n, authority <> 'CUST' AND authority <> 'SUP' AS fresh FROM r WHERE authority = 'PART' OR place <> 3 GROUP BY 1"
+)
+def s15_s16_assembly(spark, sf_dir):
+    """Three sources: one broken, one too short, one sound; the first two keep the previous snapshot's records."""
+    r = records(spark, sf_dir)
+    previous = r.where(F.col("addresses")[0]["country"] != PLACES[3])
+    of = lambda a: r.where(F.col("authority") == a)
+    broken = lambda: of("SUP").withColumn("name", F.raise_error(F.lit("gone")))
+    done = snap.assemble([snap.Source("a", ("SUP",), broken, 1), snap.Source("b", ("CUST",), lambda: of("CUST").limit(3), 4), snap.Source("c", ("PART",), lambda: of("PART"), 1)], previous)
+    sound = [a for x in done.log if x["ok"] for a in x["authorities"]]
+    return done.parties.groupBy("authority").agg(F.count(F.lit(1)).alias("n")).withColumn("fresh", F.col("authority").isin(*sound))
