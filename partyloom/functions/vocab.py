@@ -60,14 +60,14 @@ IDENTIFIER_PATTERNS = (
     (r"\blei\b|legal entity identifier", "lei"),
     (r"\bisin\b", "isin"),
     (r"d-u-n-s|\bduns\b", "duns"),
-    (r"\b(tax|vat|nit|ruc|tin|rif|rfc|fein)\b|fiscal code|global intermediary identification", "tax_id"),
+    (r"\btax\b|\bvat\b|\bnit\b|\bruc\b|\btin\b|\brif\b|\brfc\b|fiscal code|\bfein\b|global intermediary identification", "tax_id"),
     (
-        r"cedula|\b(ci|curp|cui|dni|nie|ife|ssn)\b|national (id|identification|foreign id)|identity card|personal id|credencial electoral|voter"
+        r"cedula|\bci\b|\bcurp\b|\bcui\b|\bdni\b|\bnie\b|\bife\b|\bssn\b|national id|national identification|national foreign id|identity card|personal id|credencial electoral|voter"
         r"|residency number|birth certificate|citizen|numero de identidad|cartilla|servicio militar|turkish identification",
         "national_id",
     ),
     (
-        r"registration|registry|commercial regist|(company|business|enterprise|legal entity) number|(entity|organization) code|branch unit"
+        r"registration|registry|commercial regist|company number|business number|enterprise number|legal entity number|entity code|organization code|branch unit"
         r"|certificate of incorporation|registered charity|folio mercantil|matricula|chamber of comm|social credit|gazette|\bcr no\b|\bcin\b|economic register",
         "registration",
     ),
