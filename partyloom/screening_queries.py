@@ -147,5 +147,5 @@ def m16_m17_modified_scores(spark, sf_dir):
     place = lambda k: F.element_at(F.array(*map(F.lit, PLACES)), (k % 5 + 1).cast("int"))
     country = F.when(F.col("c") == 1, place(F.col("c_custkey"))).when(F.col("c") == 2, place(F.col("c_custkey") + 1)).otherwise("")
     asked = met.select(F.concat(F.lit("CUST-"), "c_custkey").alias("qid"), F.col("c_name").alias("q"), F.coalesce(year.cast("string"), F.lit("")).alias("yob"), country.alias("country"))
-    hits = screening.screen(asked, r, 0.91).where("qid = party_id")
+    hits = screening.screen(asked, r, 0.91, among=asked.select("qid", F.col("qid").alias("party_id")))
     return hits.select("party_id", "score", "match_type", "corroborated", "conflict")

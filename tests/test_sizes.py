@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from partyloom.plans import screening
 from partyloom.queries import QUERIES
+from tests.parties import frame
 
 
 def test_ego_network_is_not_cut(spark, tmp_path):
@@ -11,3 +13,12 @@ def test_ego_network_is_not_cut(spark, tmp_path):
     spark.createDataFrame([(3, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
     got = QUERIES["g2_ego_network"](spark, str(tmp_path)).groupBy("hop").count().collect()
     assert {r["hop"]: r["count"] for r in got} == {0: 1, 1: n + 1}
+
+
+def test_screening_of_stated_pairs_is_the_same(spark):
+    parties = frame(spark)
+    asked = spark.createDataFrame([("1", "Viktor Petrov Sokolin", "1968", "Russia"), ("2", "Sokolin Shiping", "", ""), ("UK-1", "Viktor Sokolin", "1990", ""), ("3", "9345678", "", ""), ("4", "Redstone Holdings", "", "")], "qid string, q string, yob string, country string")
+    among = asked.select("qid", F.col("qid").alias("party_id"))
+    want = sorted(map(tuple, screening.screen(asked, parties, 0.91).where("qid = party_id").collect()))
+    got = screening.screen(asked, parties, 0.91, among=among)
+    assert want and sorted(map(tuple, got.collect())) == want
