@@ -1,10 +1,12 @@
 """Whole results where a group is larger than any in the test tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from partyloom.functions import batch_similarity
 from partyloom.plans import screening
 from partyloom.queries import QUERIES
-from tests.parties import frame
+from tests.parties import frame, party
 
 
 def test_ego_network_is_not_cut(spark, tmp_path):
@@ -22,3 +24,25 @@ def test_screening_of_stated_pairs_is_the_same(spark):
     want = sorted(map(tuple, screening.screen(asked, parties, 0.91).where("qid = party_id").collect()))
     got = screening.screen(asked, parties, 0.91, among=among)
     assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_parties_of_equal_names_are_scored_once_and_all_given_back(spark):
+    rows = [party(f"{k}-{n}", n, aliases=a) for k in range(4) for n, a in (("Redstone Holdings", ()), ("Caspian Marine Lines", ("CML JSC",)))] + [party("x", "Redstone Holdings", aliases=("Redstone",))]
+    parties = frame(spark, rows)
+    same = screening.same_names(screening.names_table(parties))
+    assert {r["party_id"]: r["lead"] for r in same.collect()} == {r["id"]: r["id"] if r["id"] == "x" else "0-" + r["name"] for r in rows}
+    asked = spark.createDataFrame([("a", "Redstone Holding"), ("b", "Caspian Marine Line")], "qid string, q string")
+    for exhaustive in (False, True):
+        got = {(r["qid"], r["party_id"]) for r in screening.screen(asked, parties, 0.95, exhaustive=exhaustive).collect()}
+        assert got == {("b" if "Caspian" in r["name"] else "a", r["id"]) for r in rows}
+
+
+def test_bounds_of_word_similarity_hold():
+    words = ["SUPPLIER", "SUPPLIEER", "CUSTOMER", "PHILIP", "FILIP", "YUSUF", "JOUSEF", "X", "AL", "000000123", "000000132", "ÉÉ", "中国", "AAAAAAA", "SCHMIDT", "SHMIT"]
+    at = np.arange(len(words))
+    i, j = np.repeat(at, len(at)), np.tile(at, len(at))
+    for confusable in (frozenset(), frozenset({"OU", "EA"})):
+        w = batch_similarity.Words(words)
+        most = batch_similarity.sims_at_most(words, words, i, j, bool(confusable))
+        assert (batch_similarity.token_sims(w, w, i, j, confusable) <= most).all()
+        assert most[words.index("CUSTOMER")] < 0.8  # against SUPPLIER: no kernel has to run
