@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from partyloom.functions import batch_similarity
+from partyloom.operators import graph
+from partyloom.operators.shared import dealt
 from partyloom.plans import screening
 from partyloom.queries import QUERIES
 from tests.parties import frame, party
@@ -46,3 +48,19 @@ def test_bounds_of_word_similarity_hold():
         most = batch_similarity.sims_at_most(words, words, i, j, bool(confusable))
         assert (batch_similarity.token_sims(w, w, i, j, confusable) <= most).all()
         assert most[words.index("CUSTOMER")] < 0.8  # against SUPPLIER: no kernel has to run
+
+
+def test_parallel_edges_collapse_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINK_ROWS", 10)
+    rows = [(a, b, k == 0, f"t{k}") for k in range(2) for a, b in [("a", "b"), ("b", "a"), ("c", "c"), ("d", "c")]] + [(f"n{k}", "hub", False, "x") for k in range(40)]
+    out = graph.collapse_parallel(spark.createDataFrame(rows, "src string, dst string, ownership boolean, type string"))
+    assert out.rdd.getNumPartitions() == 5
+    got = {(r["a"], r["b"]): (r["ownership"], r["types"], r["mutual"]) for r in out.collect()}
+    assert got == {("a", "b"): (True, ["t0", "t1"], True), ("c", "c"): (True, ["t0", "t1"], False), ("c", "d"): (True, ["t0", "t1"], False)} | {("hub", f"n{k}"): (False, ["x"], False) for k in range(40)}
+
+
+def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    out = dealt(spark.read.parquet(f"{tmp_path}/one"), 100)
+    sizes = out.rdd.glom().map(len).collect()
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 200
