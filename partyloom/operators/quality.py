@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partyloom.functions import countries
 from partyloom.functions.dates import parse_date_value
 from partyloom.functions.vocab import attribute_kind, identifier_kind
+from partyloom.operators.shared import dealt
 
 # Floors, which rates are better low, and tolerated drops.
 FLOORS = {"dobParseRate": 0.95, "countryResolveRate": 0.95, "attributeUnclassifiedRate": 0.10, "identifierUnclassifiedRate": 0.25}
@@ -23,7 +24,7 @@ def rate(part: Column, whole: Column) -> Column:
 
 def _facts(df: DataFrame) -> DataFrame:
     kinds = F.transform("attributes", lambda a: F.struct(attribute_kind(a["label"]).alias("k"), a["value"].alias("v")))
-    rows = df.select("authority", "names", "addresses", "identifiers", "relationships", kinds.alias("kinds"))
+    rows = dealt(df).select("authority", "names", "addresses", "identifiers", "relationships", kinds.alias("kinds"))
     of = lambda *k: F.transform(F.filter("kinds", lambda x: x["k"].isin(*k)), lambda x: x["v"])
     births = F.transform(of("dob"), lambda s: parse_date_value(s).isNotNull())
     stated = countries.known(of("nationality", "citizenship"))
