@@ -1,8 +1,10 @@
 """Near-dedup at a similarity of 0.8 over five-word shingles, against brute force."""
 
 import random
+from itertools import combinations
 
 import numpy as np
+import pytest
 
 from partyloom.llm import similar
 
@@ -58,6 +60,53 @@ def test_family_of_near_copies_stays_connected(spark, monkeypatch):
     assert len(kept) == len(set(got.values()))
 
 
+def small_batches(spark, request, rows):
+    """Sets are only held in parts where they span batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+@pytest.mark.parametrize(("small", "most_held"), [(4, 4096), (2, 10)])
+def test_no_pair_of_a_set_is_left_out(spark, monkeypatch, request, small, most_held):
+    """Families with many pairs near the similarity: components of all pairs that share a key, in sets of any size."""
+    monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "MOST_HELD", most_held)
+    small_batches(spark, request, 64)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        first = [str(rng.randrange(10**6)) for _ in range(300)]
+        texts += [" ".join(changed(rng, first, rng.randrange(2, 11))) for _ in range(100)]
+    data = [t.encode() for t in texts]
+    s, ends = similar.shingles(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    sets = np.split(s, ends[:-1])
+    keys, check = similar.variants(np.stack([similar.bit_counts(x) for x in sets]), np.array([len(x) for x in sets]))
+    meet = {}
+    for i, own in enumerate(keys.reshape(len(texts), -1).tolist()):
+        for k in own:
+            meet.setdefault(k, []).append(i)
+    assert max(map(len, meet.values())) > 3 * most_held or most_held > len(texts)
+    hashed = [set((x >> np.uint64(32)).tolist()) for x in sets]
+    root = list(range(len(texts)))
+    for a, b in sorted({(a, b) for m in meet.values() for a, b in combinations(m, 2)}):
+        if int(check[a] ^ check[b]).bit_count() <= similar.CHECK and jaccard(hashed[a], hashed[b]) >= 0.8 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = {r["id"]: r["component_id"] for r in similar.similar_groups(frame(spark, enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_few_rows_are_made_of_a_family(spark, request):
+    """Members meet their set's lead, not each other, in all of its parts."""
+    small_batches(spark, request, 400)
+    rng = random.Random(12)
+    fps, check = np.arange(3000), rng.randrange(1 << 62)
+    rows = [(7, int(i), check ^ (1 << rng.randrange(60)), 0) for i in fps]
+    met = spark.createDataFrame(rows, "key long, fp long, check long, flipped long").coalesce(1).sortWithinPartitions("key", "fp").mapInArrow(similar._met(500), similar.MET_DDL)
+    assert sum(len(r["fps"]) for r in met.collect()) == 3000 and met.select("key", "lead").distinct().count() == 1 and met.count() > 3
+    assert met.mapInArrow(similar._first_pairs(4), "a long, b long").distinct().count() == 2999
+
+
 def test_hostile_rows(spark):
     long = " ".join(str(i % 9973) for i in range(120_000))
     rows = [(1, None), (2, ""), (3, "  "), (4, "one two"), (5, "ONE  two"), (6, long), (7, long + " end"), (None, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (10, "A B C D E F")]
