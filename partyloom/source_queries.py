@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partyloom.operators.shared import shared_dir
+from partyloom.operators.shared import dealt, shared_dir
 from partyloom.queries import query, table
 from partyloom.record_queries import FLAT, records
 from partyloom.screening_queries import CYRILLIC, LATIN, native_records
@@ -200,7 +200,7 @@ def s1_s2_party_json(spark, sf_dir):
 def s8_remark_rows(spark, sf_dir):
     """Remarks as a table function, in SQL."""
     table_functions.register(spark)
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", filled(REMARKS).alias("remarks"))
+    s = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", filled(REMARKS).alias("remarks")))
     return spark.sql("SELECT s_suppkey, r.at AS place, r.`group` AS grp, r.label, r.value, r.id_type, r.id_value FROM {s}, LATERAL remark_rows(remarks) r", s=s)
 
 
@@ -211,4 +211,4 @@ def s8_remark_rows(spark, sf_dir):
 def n10_name_rows(spark, sf_dir):
     """Searchable names as a table function, in SQL, native forms too."""
     table_functions.register(spark)
-    return spark.sql("SELECT id, n.* FROM {r}, LATERAL name_rows(name, names) n", r=native_records(spark, sf_dir).select("id", "name", "names"))
+    return spark.sql("SELECT id, n.* FROM {r}, LATERAL name_rows(name, names) n", r=dealt(native_records(spark, sf_dir).select("id", "name", "names")))

@@ -57,6 +57,6 @@ class NameRows:
 
 
 def register(spark: SparkSession) -> None:
-    """remark_rows and name_rows, with Arrow transfer."""
+    """remark_rows and name_rows; without Arrow, which would make a data frame of each row's output."""
     for name, cls, kind in (("remark_rows", RemarkRows, REMARK_ROW), ("name_rows", NameRows, NAME_ROW)):
-        spark.udtf.register(name, F.udtf(cls, returnType=kind, useArrow=True))
+        spark.udtf.register(name, F.udtf(cls, returnType=kind, useArrow=False))

@@ -64,3 +64,9 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
     out = dealt(spark.read.parquet(f"{tmp_path}/one"), 100)
     sizes = out.rdd.glom().map(len).collect()
     assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 200
+
+
+def test_table_functions_are_dealt_and_make_no_frame_a_row(spark):
+    for name in ("n10_name_rows", "s8_remark_rows"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan and "REPARTITION_BY_NUM" in plan
