@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from partyloom.functions import batch_similarity
+from partyloom.functions import batch_similarity, gram_sets
 from partyloom.operators import graph
 from partyloom.operators.shared import dealt
 from partyloom.plans import screening
@@ -70,3 +70,29 @@ def test_table_functions_are_dealt_and_make_no_frame_a_row(spark):
     for name in ("n10_name_rows", "s8_remark_rows"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_gram_lane_joins_no_postings_and_goes_in_blocks(spark, monkeypatch):
+    words = ["SUPPLIER", "CUSTOMER", "SCHMIDT", "ÉÉPHKH", "ABAB", "X"]
+    asked = [(i, [words[i % 6], f"{i * 7:05}"]) for i in range(40)] + [(3, ["OTHER", "NAME"]), (None, ["SUPPLIER"]), (90, ["AB"])]
+    held = [(f"p{i}", [words[i * 5 % 6], f"{i * 3 % 60:05}"]) for i in range(90)] + [("p1", ["OTHER", "NAMES"])]
+    q, names = spark.createDataFrame(asked, "qid long, q_tokens array<string>"), spark.createDataFrame(held, "party_id string, tokens array<string>")
+    of = {}
+    for party, tokens in held:
+        of.setdefault(party, []).append(tokens)
+    wanted = set()
+    for qid, tokens in asked:
+        mine = gram_sets.gram_set_of([tokens])
+        wanted |= {(qid, p) for p, lists in of.items() if qid is not None and len(mine & gram_sets.gram_set_of(lists)) >= max(1, len(mine) // 4)}
+    whole = screening.gram_lane(q, names)
+    assert sorted(map(tuple, whole.collect())) == sorted(wanted) and (3, "p1") in wanted
+    assert not any(w in whole._jdf.queryExecution().executedPlan().toString() for w in ("Join", "Window"))
+    for module, name, value in ((screening, "MOST_SETS", 8), (gram_sets, "CELLS", 64), (gram_sets, "ROWS_OUT", 5), (gram_sets, "RARE", 2)):
+        monkeypatch.setattr(module, name, value)
+    assert sorted(map(tuple, screening.gram_lane(q, names).collect())) == sorted(wanted)
+
+
+def test_gram_sets_equal_the_columns(spark):
+    lists = [["SCHMIDT", "PHILLIP"], ["X"], ["ÉÉ", "中国中国"], ["KHXQUWRIGHT", "00123"], ["HHHH"], []]
+    got = spark.createDataFrame([(t,) for t in lists], "t array<string>").select(screening.gram_set(F.col("t")).alias("g")).collect()
+    assert [set(r["g"]) for r in got] == [gram_sets.gram_set_of([t]) for t in lists]
