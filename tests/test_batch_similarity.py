@@ -77,3 +77,46 @@ def test_word_table_leaves_no_pair_out(least, confusable):
     got = {(asked[a], other[b]): s for a, b, s in zip(i.tolist(), j.tolist(), score.tolist(), strict=True)}
     want = {(a, b): s for a in asked for b in other if (s := sim.token_sim(a, b, confusable)) >= least - 1e-9}
     assert got == want and len(got) < len(asked) * len(other) / 4
+
+
+@pytest.mark.parametrize("confusable", [frozenset(), CONFUSABLE])
+def test_explanations(confusable):
+    rng = random.Random(21)
+    vocabulary = words(rng, 60)
+    some = lambda most: [rng.choice(vocabulary) for _ in range(rng.randrange(most))]
+    rows = [(q, rng.choice([some(6), list(q), [w + "A" for w in q], [q[0] + "H", *some(2)] if q else []])) for q in (some(5) for _ in range(600))] + [(None, None), ([], ["X"]), (["X"], [])]
+    q, c = (pa.array(x, pa.list_(pa.string())) for x in zip(*rows, strict=True))
+    want = [None if a is None else sim.explain(a, b, confusable) for a, b in rows]
+    assert batch.explanations(q, c, confusable) == want and batch.explanations(q.slice(5, 30), c.slice(5, 30), confusable) == want[5:35]
+    assert batch.explanations(q.slice(0, 0), c.slice(0, 0)) == []
+
+
+@pytest.mark.parametrize("least", [0.0, 0.7, 0.86, 0.95])
+@pytest.mark.parametrize("confusable", [frozenset(), CONFUSABLE])
+def test_scan_leaves_no_pair_out(least, confusable, monkeypatch):
+    rng = random.Random(17)
+    monkeypatch.setattr(batch, "SCAN_CELLS", 3000)
+    monkeypatch.setattr(batch, "SCAN_ROWS", 500)
+    vocabulary = words(rng, 40) + list(WEAK_NAMES)[:5]
+    some = lambda most: [rng.choice(vocabulary) for _ in range(rng.randrange(most))]
+    names = [some(5) for _ in range(90)] + [["CASPIAN", "MARITIME", "LOGISTICS"], [], ["A"] * 69, ["ÉÉ", "中国"]]
+    asked = [some(4) for _ in range(50)] + [rng.choice(names)[::-1] for _ in range(20)] + [["CML"], ["CM"], ["A"] * 70, ["ÉÉ", "中"], ["CASPIAN", "MARITIMES"], []]
+    weights, low = [[1 + rng.random() * 5 for _ in q] for q in asked], [rng.random() < 0.2 for _ in names]
+    kinds = (pa.list_(pa.string()), pa.list_(pa.float64()))
+    table = batch.Asked(pa.table({"qid": pa.array(range(len(asked))), "q_tokens": pa.array(asked, kinds[0]), "weights": pa.array(weights, kinds[1])}), least, confusable)
+    want = {(i, j): s for i, q in enumerate(asked) for j, c in enumerate(names) if c and (s := sim.name_score(q, c, weights[i], low[j], confusable, least)) >= least - 1e-9}
+    for by_word in (False, True) if least >= 0.82 else (False,):
+        found = list(table.scored(pa.array(names, kinds[0]), pa.array(low), by_word))
+        got = {(i, j): s for part in found for i, j, s in zip(*(x.tolist() for x in part), strict=True)}
+        assert got == want and len(want) > 10 and sum(len(i) for i, _, _ in found) == len(got)
+
+
+def test_few_pairs_are_scored(monkeypatch):
+    """Customers and suppliers are told apart, and all words of queries looked at, before any pair is scored."""
+    asked = [["SUPPLIEER", f"{k:09}"] for k in range(60)] + [["RED", "PLATEE"]]
+    names = [["CUSTOMER", f"{k:09}"] for k in range(300)] + [["SUPPLIER", f"{k:09}"] for k in range(20)] + [["RED", "PLATE"]]
+    rows = []
+    monkeypatch.setattr(batch, "_scores", lambda q, *rest, whole=batch._scores: rows.append(len(q[0])) or whole(q, *rest))
+    table = batch.Asked(pa.table({"qid": range(61), "q_tokens": asked, "weights": [[1.0, 1.0]] * 61}), 0.95)
+    hits = [p for i, j, _ in table.scored(pa.array(names), pa.array([False] * 321), False) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sum(rows) <= 60 * 20 + 1 and (60, 320) in hits and all((k, 300 + k) in hits for k in range(20))

@@ -96,3 +96,13 @@ def test_gram_sets_equal_the_columns(spark):
     lists = [["SCHMIDT", "PHILLIP"], ["X"], ["ÉÉ", "中国中国"], ["KHXQUWRIGHT", "00123"], ["HHHH"], []]
     got = spark.createDataFrame([(t,) for t in lists], "t array<string>").select(screening.gram_set(F.col("t")).alias("g")).collect()
     assert [set(r["g"]) for r in got] == [gram_sets.gram_set_of([t]) for t in lists]
+
+
+def test_scan_compares_parts_of_queries_and_makes_no_rows_of_pairs(spark, monkeypatch):
+    parties = frame(spark)
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(("Sokolin Shiping", "Delta Frieght", "Redstone Holdings", "MV Northern Gull", "Orion Gulf Metal"))], "qid int, q string")
+    whole = sorted(map(tuple, screening.screen(asked, parties, exhaustive=False).collect()))
+    monkeypatch.setattr(batch_similarity, "SCAN_QUERIES", 2)
+    got = screening.screen(asked, parties)
+    assert whole and sorted(map(tuple, got.collect())) == whole
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
