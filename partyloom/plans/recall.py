@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyloom.functions.text import EMPTY, Lexicon, name_tokens, other_script
+from partyloom.operators.shared import pinned
 from partyloom.plans import screening
 from partyloom.plans.snapshot import candidate_names
 
@@ -46,7 +47,7 @@ def typo(name: Column, seed: int = SEED) -> Column:
 
 def perturbed(parties: DataFrame, sample: int = SAMPLE, lexicon: Lexicon = EMPTY, seed: int = SEED) -> DataFrame:
     """(qid, family, q): about `sample` typos and a third as many of each other family."""
-    names = candidate_names(parties).select("name").distinct()
+    names = pinned(candidate_names(parties).select("name").distinct(), "drawn-from")  # read by each family
     plain = names.withColumns({"q": clean(F.col("name")), "tokens": name_tokens(F.col("name"), lexicon)})
     initials = F.array_join(F.transform("tokens", lambda t: F.substring(t, 1, 1)), "")
     families = (
@@ -68,8 +69,9 @@ def differential(queries: DataFrame, parties: DataFrame, threshold: float = scre
 
     queries: (qid, family, q) and, for modifiers, yob and country.  compared: hits of the full scan.
     """
-    asked = queries.drop("family")
-    fast, full = (screening.screen(asked, parties, threshold, exhaustive=e, **how).select("qid", "party_id", "score", "matched_name") for e in (False, True))
+    queries = pinned(queries, "perturbed")
+    asked, known = queries.drop("family"), screening.distinct_names(parties, how.get("lexicon", EMPTY))
+    fast, full = (screening.screen(asked, parties, threshold, exhaustive=e, known=known, **how).select("qid", "party_id", "score", "matched_name") for e in (False, True))
     both = full.withColumn("in_full", F.lit(1)).unionByName(fast.withColumn("in_full", F.lit(-1)))
     # a hit that both give sums to 0, one of the full scan only to 1
     sums = both.groupBy("qid", "party_id", "score", "matched_name").agg(F.sum("in_full").alias("side"), F.max("in_full").alias("known"))

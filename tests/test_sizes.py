@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from partyloom.functions import batch_similarity, gram_sets
 from partyloom.operators import graph
 from partyloom.operators.shared import dealt
-from partyloom.plans import screening
+from partyloom.plans import recall, screening
 from partyloom.queries import QUERIES
 from tests.parties import frame, party
 
@@ -106,3 +106,11 @@ def test_scan_compares_parts_of_queries_and_makes_no_rows_of_pairs(spark, monkey
     got = screening.screen(asked, parties)
     assert whole and sorted(map(tuple, got.collect())) == whole
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_reads_names_once(spark, monkeypatch):
+    read, names_table = [], screening.names_table
+    monkeypatch.setattr(screening, "names_table", lambda *of: read.append(1) or names_table(*of))
+    parties = frame(spark)
+    told = recall.differential(recall.perturbed(parties, 6), parties, 0.9).collect()
+    assert len(read) == 1 and sum(r["compared"] for r in told) > 0 and not any(r["lost"] or r["gained"] for r in told)
